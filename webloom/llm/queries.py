@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import exact_dedup, mixing
+from webloom.llm import exact_dedup, mixing, packing, token_files
+from webloom.llm.encoding import vocabulary_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +18,20 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(_documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op2_exact_dedup, op6_token_files, op9_packing, op10_mixing)}
 
 
 OP2_SQL = r"""
