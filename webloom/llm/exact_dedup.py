@@ -178,7 +178,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
         hashed.join(few, "__fp", "left_semi").select("__id", "__sha", F.length("__text").alias("__len"), F.translate("__text", WHITE, "").alias("__norm"), F.monotonically_increasing_id().alias("__uid"), *(["__row"] if rows else [])),
         "candidates",
     )
-    classes = _classes(candidates, "__id")
+    classes = written(_classes(candidates, "__id"), "classes")  # written, so that the join's own exchanges can be split by AQE
     if rows:
         stay = classes.select(F.col("__best.uid").alias("__uid"))
         unique = hashed.join(few, "__fp", "left_anti").select("__row")
