@@ -23,7 +23,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _KEEPS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 _DROPS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
 #: Characters of cached parts, and of texts that are encoded together.
-_CACHED, _TOGETHER = 12_000_000, 1_000_000
+_CACHED, _TOGETHER = 8_000_000, 1_000_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -43,12 +43,29 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tokenizer.get_vocab_size()
         self.drops_space = drops_space
+        self.plain = re.compile(f"[{_LETTERS}]+" if drops_space else f" [{_LETTERS}]+")
         self.cache: dict[str, bytes] = {}
         self.held = 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece. Plain words go to the library as one text, and its word numbers tell them apart."""
+        plain = [p for p in pieces if self.plain.fullmatch(p)]
+        glue = " " if self.drops_space else ""
+        found: dict[str, bytes] = {}
+        for a in range(0, len(plain), 4096):
+            some = plain[a : a + 4096]
+            got = self.tokenizer.encode(glue.join(some), add_special_tokens=False)
+            word = np.array(got.word_ids, np.int64)
+            if len(word) and word[-1] + 1 == len(some):
+                ids, first = np.array(got.ids, "<u4").tobytes(), np.searchsorted(word, np.arange(len(some) + 1)) * 4
+                found.update((p, ids[first[i] : first[i + 1]]) for i, p in enumerate(some))
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, self._whole(rest), strict=True))
+        return [found[p] for p in pieces]
+
     def _group(self, texts: list[str]) -> list[bytes]:
         if self.held > _CACHED:
             self.cache, self.held = {}, 0
@@ -63,7 +80,7 @@ class Encoder:
                 parts.append(text.split() if self.drops_space else _PARTS.findall(text))
         new = [p for p in set().union(*parts) if p not in self.cache]
         if new:
-            self.cache.update(zip(new, self._whole(new), strict=True))
+            self.cache.update(zip(new, self._pieces(new), strict=True))
             self.held += sum(map(len, new)) + 8 * len(new)
         get = self.cache.__getitem__
         out = [b"".join(map(get, p)) for p in parts]
