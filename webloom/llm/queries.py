@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import exact_dedup, mixing, near_dedup, packing, quality, token_files
+from webloom.llm import exact_dedup, mixing, near_dedup, packing, passages, quality, token_files
 from webloom.llm.encoding import vocabulary_path
 
 
@@ -26,6 +26,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_documents(spark, sf_dir))
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(_documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"))
 
@@ -39,7 +43,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_near_dedup, op6_token_files, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_near_dedup, op5_passages, op6_token_files, op9_packing, op10_mixing)}
 
 
 OP2_SQL = r"""
