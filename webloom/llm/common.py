@@ -6,7 +6,10 @@ import functools
 import operator
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,3 +61,35 @@ def arrow_batches(spark: SparkSession, rows: int = 512) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+
+
+#: Rows of a bucket that are held against each other in one go.
+BLOCK_ROWS = 256
+
+
+def blocks(rows: DataFrame, key: str = "key", uid: str = "uid") -> DataFrame:
+    """rows with part, lo and hi, to be dealt by key, lo and hi. A bucket of up to BLOCK_ROWS rows is one block; a larger one is
+    cut into parts, and each pair of parts is a block, so that every two rows of the bucket meet in one of them."""
+    parts = rows.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("parts"))
+    cut = rows.join(parts, key).withColumn("part", F.pmod(F.xxhash64(F.lit(5), uid), F.col("parts")).cast("int"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return met.withColumns({"lo": F.least("part", "other"), "hi": F.greatest("part", "other")}).drop("parts", "other")
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows that are equal in the first columns (whole numbers, no nulls), over the batches' ends."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        head = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[:keys]])
+        cuts = [0, *(np.flatnonzero((head[:, 1:] != head[:, :-1]).any(axis=0)) + 1), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and tuple(head[:, a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(head[:, a])
+    if held:
+        yield pa.Table.from_batches(held)

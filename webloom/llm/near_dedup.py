@@ -1,15 +1,15 @@
 """Near-duplicate documents by improved consistent weighted sampling over TF-IDF shingles of five words.
 
-A shingle weighs tf * idf. idf falls from 2, for shingles in at most RARE of the documents, to 1 for one that all have:
-1 + ln(1 / max(p, RARE)) / ln(1 / RARE), where p is the share of documents that have it. The counts are taken over all documents in a
-table of CELLS hashed counters. Other shingles of a cell add (shingles per document) / CELLS to p, whatever the corpus' size, so
-the table stays as true and as small as the corpus grows. The damping keeps one edit in a large group of copies from
+A shingle weighs tf * idf. idf falls from 1 + DAMP, for shingles in at most RARE of the documents, to 1 for one that all
+have: 1 + DAMP * ln(1 / max(p, RARE)) / ln(1 / RARE), where p is the share of documents that have it. The counts are taken over all documents
+in a table of CELLS hashed counters. Other shingles of a cell add (shingles per document) / CELLS to p, whatever the corpus' size,
+so the table stays as true and as small as the corpus grows. The damping keeps one edit in a large group of copies from
 outweighing all that the copies share.
 
-Each document gets BANDS * ROWS samples. Documents that share a band meet in a bucket. A bucket is no pairs' product: its first
-document is held against the others; the ones it does not link stay and are met by the next first, by buckets of two
-shared bands from the second round on, until nothing is left to compare. Samples rule out pairs that are far off; the others' weighted
-Jaccard similarity is computed from their whole texts. Links of at least the threshold make classes by connected components.
+Each document gets BANDS * ROWS samples. Documents that share a band meet in a bucket. A bucket is no pairs' product: first the one
+document that shares most with others is held against the rest. What it does not link is compared in blocks of bounded size:
+samples rule out pairs that are far off, pairs that links already join are passed over, and the others' weighted Jaccard similarity is
+computed from their whole texts. Links of at least the threshold make classes by connected components.
 
 Equal texts (in all their words) are collapsed before and expanded after. Null texts and texts without words are classes of their own. Texts
 with one to four words have one shingle. Rows with equal ids are separate documents. An empty table gives an empty result.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_batches, small_side, written
+from webloom.llm.common import arrow_batches, blocks, runs, small_side, written
 from webloom.llm.graph import components
 from webloom.llm.shingles import groups, mix
 
@@ -32,6 +32,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 #: Counters of the document frequencies; the share of documents up to which a shingle is rare.
 CELLS, RARE = 1 << 20, 0.002
+DAMP = 0.25
 #: Samples of BANDS * ROWS that a pair must share to be verified: at a similarity of 0.8, 38.4 are shared on average, fewer than 27 once in 10,000.
 SHARED = 27
 
@@ -76,7 +77,7 @@ def idf_table(texts: DataFrame, docs: int) -> np.ndarray:
     for r in blocks.toLocalIterator():
         counts[r["block"] << 14 : (r["block"] + 1) << 14] = np.frombuffer(r["total"], "<i8")
     p = np.maximum(counts / max(docs, 1), RARE)
-    return (1 + np.log(1 / np.minimum(p, 1)) / np.log(1 / RARE)).astype(np.float32)
+    return (1 + DAMP * np.log(1 / np.minimum(p, 1)) / np.log(1 / RARE)).astype(np.float32)
 
 
 _SEEDS = mix(np.arange(1, 3 * BANDS * ROWS + 1, dtype=np.uint64) * _U(0xD1342543DE82EF95))
@@ -181,45 +182,63 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array((x == y).sum(axis=1) >= SHARED))
 
 
+def _block_links(threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, 3):
+            lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
+            band, part, uid, label = (t[c].to_numpy() for c in ("band", "part", "uid", "label"))
+            if len(uid) < 2:
+                continue
+            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), "<u4").reshape(len(uid), -1)
+            vector, root = t["vector"].to_pylist(), {}
+
+            def find(x: int) -> int:
+                while root.get(x, x) != x:
+                    root[x] = x = root.get(root[x], root[x])
+                return x
+
+            links = []
+            for i in range(len(uid) - 1):
+                same = sig[i + 1 :] == sig[i]
+                # a pair is compared in the first band that it shares
+                ok = (same.sum(axis=1) >= SHARED) & ~same.reshape(len(same), BANDS, ROWS)[:, : band[i]].all(axis=2).any(axis=1)
+                if lo < hi:
+                    ok &= part[i + 1 :] != part[i]
+                for j in np.flatnonzero(ok) + i + 1:
+                    x, y = find(int(label[i])), find(int(label[j]))
+                    if x != y and weighted_jaccard(vector[i], vector[j]) >= threshold:
+                        root[max(x, y)] = min(x, y)
+                        links.append((int(uid[i]), int(uid[j])))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 def _linked(reps: DataFrame, vectors, threshold: float) -> DataFrame:
     """(a, b): links among reps (uid, sig, bands) that connect all that are near; see the module's text."""
-    rows = reps.select("uid", F.explode("bands").alias("key"))
-    rows = written(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key"), "buckets")
-    keep = [reps.sparkSession.createDataFrame([], "a long, b long")]
-    if rows.isEmpty():
-        return keep[0]
-    table = written(vectors(rows.select("uid").distinct()), "vectors")
+    rows = reps.select("uid", F.posexplode("bands").alias("band", "key"))
+    rows = written(rows.join(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"), "buckets")
+    score = rows.groupBy("uid").agg(F.sum("n").alias("score"))
+    rows = rows.join(score, "uid")
+    # The leader has the largest buckets over all bands: of copies with edits of their own, the one they come from.
+    leaders = rows.groupBy("key").agg(F.min(F.struct(-F.col("score"), "uid"))["uid"].alias("leader"))
+    met = written(rows.join(leaders, "key").where("uid <> leader").select("leader", "uid", "key", "band"), "met")
     sigs = reps.select("uid", "sig")
-    compared, k = None, 0
-    while True:
-        leaders = rows.groupBy("key").agg(F.min("uid").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-        met = written(rows.join(leaders, "key").where("uid <> leader"), f"met{k}")
-        if met.isEmpty():
-            break
-        pairs = met.select("leader", "uid").distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["leader", "uid"], "left_anti")
-        both = pairs.join(sigs.withColumnsRenamed({"uid": "leader", "sig": "s1"}), "leader").join(sigs.withColumnRenamed("sig", "s2"), "uid").select("leader", "uid", "s1", "s2")
-        near = written(both.mapInArrow(_alike, "leader long, uid long"), f"near{k}")
-        both = near.join(table.withColumnsRenamed({"uid": "leader", "vector": "v1"}), "leader").join(table.withColumnRenamed("vector", "v2"), "uid").select("leader", "uid", "v1", "v2")
-        verified = written(both.mapInArrow(_verify, "leader long, uid long, similarity double"), f"verified{k}")
-        links = verified.where(F.col("similarity") >= threshold).select(F.col("leader").alias("a"), F.col("uid").alias("b"))
-        keep.append(links)
-        done = pairs.select("leader", "uid")
-        compared = written(done if compared is None else compared.unionByName(done), f"compared{k}")
-        known = links
-        for more in keep[1:-1]:
-            known = known.unionByName(more)
-        rest = met.join(known.withColumnsRenamed({"a": "leader", "b": "uid"}), ["leader", "uid"], "left_anti").select("uid", "key")
-        if k == 0:  # what one shared band has not linked must share another band
-            more = reps.select("uid", F.explode("bands").alias("other"))
-            rest = rest.join(more, "uid").where("other <> key").select("uid", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
-            rest = rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "key")
-        rows, k = written(rest, f"rest{k}"), k + 1
-    out = keep[0]
-    for more in keep[1:]:
-        out = out.unionByName(more)
-    return out.distinct()
+    table = written(vectors(met.select("uid").unionByName(met.select(F.col("leader").alias("uid"))).distinct()), "vectors")
+    both = met.select("leader", "uid").distinct().join(sigs.withColumnsRenamed({"uid": "leader", "sig": "s1"}), "leader").join(sigs.withColumnRenamed("sig", "s2"), "uid").select("leader", "uid", "s1", "s2")
+    near = written(both.mapInArrow(_alike, "leader long, uid long"), "near")
+    both = near.join(table.withColumnsRenamed({"uid": "leader", "vector": "v1"}), "leader").join(table.withColumnRenamed("vector", "v2"), "uid").select("leader", "uid", "v1", "v2")
+    first = written(both.mapInArrow(_verify, "leader long, uid long, similarity double").where(F.col("similarity") >= threshold).select("leader", "uid"), "first")
+    links = first.select(F.col("leader").alias("a"), F.col("uid").alias("b"))
+    rest = met.join(first, ["leader", "uid"], "left_anti").select("key", "band", "uid")
+    rest = rest.join(components(links).select(F.col("v").alias("uid"), "root"), "uid", "left").withColumn("label", F.coalesce("root", "uid"))
+    few = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    rest = written(rest.join(few, "key").select("key", "band", "uid", "label"), "rest")
+    full = blocks(rest).select("key", "lo", "hi", "part", "band", "uid", "label")
+    full = full.join(sigs, "uid").join(table, "uid").select("key", "lo", "hi", "part", "band", "uid", "label", "sig", "vector")
+    full = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "uid")
+    return links.unionByName(written(full.mapInArrow(_block_links(threshold), "a long, b long"), "second")).distinct()
 
 
 def _classes(df: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
