@@ -23,7 +23,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _KEEPS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 _DROPS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
 #: Characters of cached parts, and of texts that are encoded together.
-_CACHED, _TOGETHER = 8_000_000, 1_000_000
+_CACHED, _TOGETHER = 11_000_000, 1_000_000
 
 
 def vocabulary_path(name: str) -> str:
@@ -67,8 +67,6 @@ class Encoder:
         return [found[p] for p in pieces]
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        if self.held > _CACHED:
-            self.cache, self.held = {}, 0
         odd, parts = [], []
         for i, text in enumerate(texts):
             if _LATIN.fullmatch(text):
@@ -78,7 +76,11 @@ class Encoder:
                 parts.append([])
             else:
                 parts.append(text.split() if self.drops_space else _PARTS.findall(text))
-        new = [p for p in set().union(*parts) if p not in self.cache]
+        distinct = set().union(*parts)
+        if self.held > _CACHED:  # what this group uses stays, which the common pieces do
+            self.cache = {p: self.cache[p] for p in distinct if p in self.cache}
+            self.held = sum(map(len, self.cache)) + 8 * len(self.cache)
+        new = [p for p in distinct if p not in self.cache]
         if new:
             self.cache.update(zip(new, self._pieces(new), strict=True))
             self.held += sum(map(len, new)) + 8 * len(new)

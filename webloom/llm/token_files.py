@@ -29,7 +29,7 @@ from webloom.llm.encoding import encoder
 
 _HEAD = struct.Struct("<4sIIIQQQ")
 #: Ids in a block, and in a file at most (but for a longer document).
-BLOCK, FILE_IDS = 4096, 1 << 22
+BLOCK, FILE_IDS = 4096, 1 << 21
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
@@ -128,15 +128,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             f = TokenFile(data.as_py())
+            whole = f.slice(0, f.ids).astype("<u4")
             for a in range(0, len(f.doc_ids), 1024):
                 span = range(a, min(a + 1024, len(f.doc_ids)))
-                each = [f.document(i) for i in span]
+                each = [whole[f.starts[i] : f.starts[i + 1]].tobytes() for i in span]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([name] * len(each), pa.string()),
                         pa.array([f.doc_ids[i] for i in span], pa.int64()),
                         pa.array([int(f.starts[i]) for i in span], pa.int64()),
-                        pa.array([x.astype("<u4").tobytes() for x in each], pa.binary()),
+                        pa.array(each, pa.binary()),
                     ],
                     names=["file", "id", "at", "ids"],
                 )
