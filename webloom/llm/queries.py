@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import exact_dedup, mixing, near_dedup, packing, passages, quality, token_files
+from webloom.llm import exact_dedup, mixing, near_dedup, packing, passages, quality, token_files, wrapper
 from webloom.llm.encoding import vocabulary_path
 
 
@@ -34,6 +34,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_documents(spark, sf_dir), vocabulary_path("byte_bpe_50k.json"))
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"))
 
@@ -43,7 +47,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_near_dedup, op5_passages, op6_token_files, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_near_dedup, op5_passages, op6_token_files, op7_main_text, op9_packing, op10_mixing)}
 
 
 OP2_SQL = r"""
