@@ -209,5 +209,6 @@ def judged(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 def kept_rows(df: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of df that are kept, as they are. The counts are taken twice, rather than the texts written."""
     table = written(_counted(df, text_col, lang_col, source_col, []), "statistics")
-    again = _counted(df, text_col, lang_col, source_col, [F.struct("*").alias("__row")])
-    return _judge(again, _chosen(table)).where("kept").select("__row.*")
+    # A filter may not be pushed below the counts, which would put them into it many times over: the row number holds it up.
+    again = _counted(df, text_col, lang_col, source_col, [F.struct("*").alias("__row")]).withColumn("__n", F.monotonically_increasing_id())
+    return _judge(again, _chosen(table)).where(F.col("kept") & (F.col("__n") >= 0)).select("__row.*")

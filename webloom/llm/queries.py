@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from webloom.llm import exact_dedup, mixing, near_dedup, packing, passages, quality, token_files, wrapper
+from webloom.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, passages, quality, secrets, token_files, wrapper
 from webloom.llm.encoding import vocabulary_path
 
 
@@ -22,6 +22,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_documents(spark, sf_dir))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_dedup(_documents(spark, sf_dir))
 
@@ -38,6 +42,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapper.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), vocabulary_path("word_bpe_49k.json"))
 
@@ -47,7 +55,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_near_dedup, op5_passages, op6_token_files, op7_main_text, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality, op2_exact_dedup, op3_line_dedup, op4_near_dedup, op5_passages, op6_token_files, op7_main_text, op8_secrets, op9_packing, op10_mixing)}
 
 
 OP2_SQL = r"""
