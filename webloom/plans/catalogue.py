@@ -1,22 +1,324 @@
-"""The catalogue of queries over the driver's tables, and the SQL each is checked against."""
+"""The catalogue of queries over the driver's tables, and the SQL each is checked against.
+
+Queries run over whole tables. Where the tables lack a case (markup of platforms, images, robots rules), rows are made from page numbers
+by the same arithmetic on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from webloom.functions import text as T
+from webloom.functions import urls as U
+from webloom.operators import pages as P
 from webloom.session import table
+from webloom.sources import discovery as D
 
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.lower("url").alias("url"))
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
+_ORIGIN = "regexp_extract(url, '^(https?://[^/?#]+)', 1)"
+_PATH = "coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), ''), '/')"
+_QUERY = "regexp_extract(url, '^[^?#]*\\?([^#]*)', 1)"
+_NORMAL = f"""{_ORIGIN} || CASE WHEN {_PATH} <> '/' THEN regexp_replace({_PATH}, '/$', '') ELSE '/' END ||
+  coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split({_QUERY}, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_(source|medium|campaign|term|content)|fbclid|gclid|mc_cid|mc_eid)(=|$)'))), '&'), ''), '')"""
+_SLUG = f"""coalesce(nullif(lower(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(CASE WHEN trim({_PATH}, '/') = '' THEN 'home' ELSE trim({_PATH}, '/') END, '\\.[A-Za-z0-9]+$', ''), '-', ' ', 'g'), '[^A-Za-z0-9\\s]', '', 'g')), '\\s+', '-', 'g')), ''), 'page')"""
+_ENTITIES = "replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&lt;', '<'), '&amp;', '&')"
+
+
+def _decoded(x: str) -> str:
+    return _ENTITIES.replace("(x,", f"({x},")
+
+
+@_query(f"SELECT page_id, {_NORMAL} AS normalized_url FROM pages")
+def url_normalize(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", U.normalize(F.col("url")).alias("normalized_url"))
+
+
+@_query(f"SELECT normalized_url, min(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, {_NORMAL} AS normalized_url FROM pages) GROUP BY 1")
+def url_dedupe_first(spark, sf_dir):
+    rows = _pages(spark, sf_dir).select("page_id", U.normalize(F.col("url")).alias("normalized_url"))
+    return rows.groupBy("normalized_url").agg(F.min("page_id").alias("page_id"), F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"SELECT {_ORIGIN} AS origin, count(*) AS n_pages, sum(length(html))::BIGINT AS html_chars, min(page_id) AS first_page FROM pages GROUP BY 1")
+def origin_stats(spark, sf_dir):
+    rows = _pages(spark, sf_dir).select("page_id", U.origin(F.col("url")).alias("origin"), F.length("html").alias("n"))
+    return rows.groupBy("origin").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("html_chars"), F.min("page_id").alias("first_page"))
+
+
+_VARIANTS = ["", "/a.PDF", "/img/x.jpeg?w=3", "/tag/x", "/2020/05", "/2020/05/06/a/b", "/feed", "/wp-login.php", "/p?share=1", "/style.css?v=1"]
+
+
+@_query(
+    f"""WITH v AS (SELECT page_id, {_ORIGIN} || ['{"','".join(_VARIANTS)}'][1 + page_id % {len(_VARIANTS)}] AS url FROM pages), p AS (SELECT *, {_PATH} AS p, regexp_replace(lower({_PATH}), '/+$', '') AS q, {_QUERY} AS s FROM v)
+SELECT page_id, url, regexp_matches(lower(p), '\\.(pdf|zip|docx?|xlsx?|pptx?|csv|txt|mp3|mp4|webm|mov|avi|css|js|map|woff2?|ttf|eot)$') AS asset,
+ regexp_matches(lower(p), '\\.(jpe?g|png|gif|webp|avif|svg|bmp|tiff?)$') AS image,
+ regexp_matches(q, '^/(tag|category|author|comments)(/|$)') OR regexp_matches(q, '/feed(/atom)?$') OR regexp_matches(q, '^/wp-(admin|login|json)') OR regexp_matches(q, '^/\\d{{4}}(/\\d{{2}})?$') OR regexp_matches(q, '^/\\d{{4}}/\\d{{2}}/\\d{{2}}/[^/]+/[^/]+') OR regexp_matches(s, '(^|&)(share|replytocom)(=|&|$)') AS low_value FROM p"""
+)
+def url_predicates(spark, sf_dir):
+    variant = F.element_at(F.array(*[F.lit(v) for v in _VARIANTS]), (F.col("page_id") % len(_VARIANTS) + 1).cast("int"))
+    rows = _pages(spark, sf_dir).select("page_id", F.concat(U.origin(F.col("url")), variant).alias("url"))
+    return rows.select("page_id", "url", U.is_asset(F.col("url")).alias("asset"), U.is_image(F.col("url")).alias("image"), U.is_low_value(F.col("url")).alias("low_value"))
+
+
+@_query(
+    f"""WITH b AS (SELECT page_id, {_ORIGIN} AS site, {_SLUG} AS base FROM pages), r AS (SELECT *, row_number() OVER (PARTITION BY site, base ORDER BY page_id) AS k FROM b)
+SELECT page_id, site, base, CASE WHEN k = 1 THEN base ELSE base || '-' || k END AS slug FROM r"""
+)
+def slug_numbered(spark, sf_dir):
+    rows = _pages(spark, sf_dir).select("page_id", U.origin(F.col("url")).alias("site"), T.slug(F.regexp_replace(F.regexp_replace(F.coalesce(F.nullif(U._part(F.col("url"), 3), F.lit("")), F.lit("/")), "^/+|/+$", ""), "^$", "home")).alias("base"))
+    return P.number_slugs(rows, "base", "page_id").select("page_id", "site", "base", "slug")
+
+
+def _extracted(spark, sf_dir):
+    return P.extract(_pages(spark, sf_dir)).select("page_id", "url", "page.*")
+
+
+_H1 = _decoded("trim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g'))")
+
+
+@_query(f"SELECT page_id, {_H1} AS title, 'en' AS language FROM pages")
+def page_titles(spark, sf_dir):
+    rows = _extracted(spark, sf_dir)
+    return rows.select("page_id", "title", F.lit("en").alias("language"))
+
+
+@_query(
+    f"""WITH a AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href="([^"]*)">', 1)) AS href FROM pages)
+SELECT page_id, count(DISTINCT href) AS n_links, min({_decoded("href")}) AS first_href, max({_decoded("href")}) AS last_href FROM a GROUP BY 1"""
+)
+def nav_links(spark, sf_dir):
+    rows = _extracted(spark, sf_dir).select("page_id", F.explode("nav").alias("x")).select("page_id", F.col("x.href").alias("href"))
+    return rows.groupBy("page_id").agg(F.countDistinct("href").alias("n_links"), F.min("href").alias("first_href"), F.max("href").alias("last_href"))
+
+
+@_query(
+    f"""WITH a AS (SELECT DISTINCT {_ORIGIN} AS site, page_id, unnest(regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1, 's'), '<a href="([^"]*)">', 1)) AS href FROM pages)
+SELECT site, href, count(*) AS in_degree FROM a GROUP BY 1, 2"""
+)
+def link_degree(spark, sf_dir):
+    rows = _extracted(spark, sf_dir).select("page_id", U.origin(F.col("url")).alias("site"), F.explode("nav").alias("x")).select("site", "page_id", F.col("x.href").alias("href")).distinct()
+    return rows.groupBy("site", "href").agg(F.count(F.lit(1)).alias("in_degree"))
+
+
+_BLOG = "regexp_matches(url, '(?i)/(blog|post|posts|news|article|articles|journal|stories)([^A-Za-z0-9_]|$)')"
+
+
+@_query(f"SELECT page_id, {_BLOG} AS is_blog, CASE WHEN {_BLOG} THEN 'blog' WHEN page_id % 3 = 0 THEN 'portfolio' ELSE 'pages' END AS folder FROM pages")
+def blog_folder(spark, sf_dir):
+    rows = _pages(spark, sf_dir).select("page_id", F.col("url").rlike(P.BLOG_URL).alias("is_blog"), F.when(F.col("page_id") % 3 == 0, "gallery").otherwise("page").alias("kind"))
+    return rows.select("page_id", "is_blog", P.folder(F.col("kind"), F.col("is_blog")).alias("folder"))
+
+
+_MARKS = ["<p>plain</p>", '<meta name="generator" content="Wix.com Website Builder"><img src="https://static.wixstatic.com/media/a.png">', '<meta name="generator" content="WordPress 6"><link href="/wp-content/x">', '<div class="sqs-block">static.squarespace.com</div>', '<html data-wf-page="1">webflow</html>']
+
+
+@_query(
+    "WITH v AS (SELECT page_id, lower(html || [" + ", ".join("'" + m + "'" for m in _MARKS) + """][1 + page_id % 5]) AS h FROM pages),
+s AS (SELECT page_id,
+ least(0.15::DOUBLE * (contains(h,'wix.com')::INT + contains(h,'static.wixstatic.com')::INT + contains(h,'parastorage.com')::INT + contains(h,'wix-code')::INT + contains(h,'x-wix-')::INT + contains(h,'data-mesh-id')::INT + contains(h,'wixstatic')::INT + contains(h,'_wix_browser_sess')::INT + contains(h,'thunderbolt')::INT) + CASE WHEN contains(h,'static.wixstatic.com') THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(h, '<meta[^>]+name=["'']generator["''][^>]+wix') THEN 0.5::DOUBLE ELSE 0 END, 1) AS wix,
+ least(CASE WHEN contains(h,'wp-content') THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN regexp_matches(h, '<meta[^>]+name=["'']generator["''][^>]+wordpress') THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN contains(h,'wordpress.com') THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN contains(h,'wp-json') THEN 0.2::DOUBLE ELSE 0 END, 1) AS wp,
+ least(CASE WHEN contains(h,'squarespace') THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN contains(h,'static.squarespace.com') THEN 0.35::DOUBLE ELSE 0 END + CASE WHEN contains(h,'sqs-') THEN 0.2::DOUBLE ELSE 0 END, 1) AS sq,
+ least(CASE WHEN contains(h,'webflow') THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN contains(h,'data-wf-') THEN 0.35::DOUBLE ELSE 0 END, 1) AS wf FROM v)
+SELECT page_id, CASE WHEN greatest(wix,wp,sq,wf) < 0.35::DOUBLE THEN 'generic' WHEN wix >= greatest(wp,sq,wf) THEN 'wix' WHEN wf >= greatest(wp,sq) THEN 'webflow' WHEN sq >= wp THEN 'squarespace' ELSE 'wordpress' END AS platform, round(greatest(wix,wp,sq,wf), 6) AS confidence FROM s"""
+)
+def detect_platform(spark, sf_dir):
+    mark = F.element_at(F.array(*[F.lit(m) for m in _MARKS]), (F.col("page_id") % 5 + 1).cast("int"))
+    rows = _pages(spark, sf_dir).select("page_id", "url", F.concat("html", mark).alias("html"))
+    return P.detect(rows).select("page_id", "platform", F.round("confidence", 6).alias("confidence"))
+
+
+_IMAGES = ["https://static.wixstatic.com/media/ab12_cd34~mv2.jpg/v1/fill/w_290,h_200/x.jpg", "https://blog.files.wp.com/2020/a.jpg?w=300&h=200", "https://example.org/favicon.ico", "https://cdn.other.net/b.png?q=1&v=2", "https://static.wixstatic.com/media/x.svg", "https://filesusr.com/v1/fill/w_20,h_20/c.png"]
+_IMG = "(['" + "','".join(_IMAGES) + "'][1 + page_id % 6])"
+
+
+@_query(
+    f"""WITH v AS (SELECT page_id, url AS seed, {_IMG} AS src FROM pages), i AS (SELECT *, nullif(lower(regexp_extract(src, '(?i)([a-z0-9]+_[a-z0-9]+~mv2(_d_\\d+_\\d+_s_\\d+)?\\.(jpg|jpeg|png|webp))', 1)), '') AS mid FROM v)
+SELECT page_id, mid AS media_id,
+ CASE WHEN mid IS NOT NULL THEN 'https://static.wixstatic.com/media/' || mid || '/v1/fit/w_1800,h_1800,al_c,q_85,enc_jpg/' || mid
+  WHEN contains(src, '/v1/fill/') AND regexp_matches(src, 'wixstatic|filesusr\\.com') THEN regexp_replace(src, '/v1/fill/[^/]+/', '/v1/fit/w_1800,h_1800,al_c,q_85,enc_jpg/')
+  WHEN contains(src, 'wp.com') THEN 'https://blog.files.wp.com/2020/a.jpg' WHEN contains(src, 'cdn.other') THEN 'https://cdn.other.net/b.png?v=2' ELSE src END AS upgraded,
+ src LIKE '%favicon%' OR src LIKE '%.svg' AS skippable,
+ NOT (regexp_matches(src, '^https://([^/]*\\.)?(wixstatic|filesusr|wp)\\.com/') AND src NOT LIKE 'https://filesusr.com/%') AS other_host FROM i"""
+)
+def media_urls(spark, sf_dir):
+    src = F.element_at(F.array(*[F.lit(x) for x in _IMAGES]), (F.col("page_id") % 6 + 1).cast("int"))
+    rows = _pages(spark, sf_dir).select("page_id", F.col("url").alias("seed"), src.alias("src"))
+    c = F.col("src")
+    return rows.select("page_id", U.wix_media_id(c).alias("media_id"), U.upgrade_media(c).alias("upgraded"), U.is_skippable(c).alias("skippable"), U.is_other_host(c, F.col("seed")).alias("other_host"))
+
+
+@_query(
+    f"""WITH v AS (SELECT page_id, {_IMG} AS src, page_id % 2 = 0 AS post, page_id % 4 = 0 AS hero FROM pages),
+f AS (SELECT page_id, array_to_string(list_filter([CASE WHEN src LIKE '%favicon%' OR src LIKE '%.svg' THEN 'chrome' END, CASE WHEN NOT (regexp_matches(src, '^https://([^/]*\\.)?(wixstatic|filesusr|wp)\\.com/') AND src NOT LIKE 'https://filesusr.com/%') THEN 'other-host' END, CASE WHEN post AND contains(lower('x ' || src), 'other') THEN 'title-name-in-media' END, CASE WHEN post AND NOT hero THEN 'inline-blog' END], lambda x: x IS NOT NULL), ',') AS flags FROM v)
+SELECT page_id, flags, flags <> '' AS skipped FROM f"""
+)
+def review_flags(spark, sf_dir):
+    src = F.element_at(F.array(*[F.lit(x) for x in _IMAGES]), (F.col("page_id") % 6 + 1).cast("int"))
+    rows = _pages(spark, sf_dir).select("page_id", "url", src.alias("src"))
+    flags = P.review_flags(F.col("src"), F.col("url"), F.lit("x"), F.lit("About Other the"), F.col("page_id") % 2 == 0, F.col("page_id") % 4 == 0, F.lit("page"))
+    return rows.select("page_id", flags.alias("f")).select("page_id", F.array_join("f", ",").alias("flags"), P.skipped_on_import(F.col("f")).alias("skipped"))
+
+
+@_query("SELECT sha256(coalesce(text, '')) AS hash, min(doc_id) AS first_doc, count(*) AS n, max(length(coalesce(text, '')))::BIGINT AS chars FROM documents GROUP BY 1")
+def image_dedupe(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("c"))
+    return rows.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n"), F.max("c").alias("chars"))
+
+
+@_query(
+    f"""WITH s AS (SELECT page_id, {_ORIGIN} AS site, url FROM pages) SELECT site || '/sitemap.xml' AS root, url FROM s WHERE page_id % 2 = 0
+UNION ALL SELECT site || '/sitemap.xml', url FROM s WHERE page_id % 2 = 1"""
+)
+def sitemap_urls(spark, sf_dir):
+    rows = _pages(spark, sf_dir).select("page_id", "url", U.origin(F.col("url")).alias("site"))
+    # A page's own document holds its address; a site's index leads to the documents of odd pages and its list holds the even ones.
+    entry = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    name = F.concat("site", F.lit("/part-"), F.col("page_id").cast("string"), F.lit(".xml"))
+    leaves = rows.where("page_id % 2 = 1").select("site", name.alias("sitemap_url"), F.concat(F.lit("<urlset>"), entry, F.lit("</urlset>")).alias("xml"))
+    index = leaves.groupBy("site").agg(F.concat_ws("", F.collect_list(F.concat(F.lit("<sitemap><loc>"), "sitemap_url", F.lit("</loc></sitemap>")))).alias("i"))
+    lists = rows.where("page_id % 2 = 0").groupBy("site").agg(F.concat_ws("", F.collect_list(entry)).alias("l"))
+    roots = rows.select("site").distinct().join(index, "site", "left").join(lists, "site", "left")
+    roots = roots.select(F.concat("site", F.lit("/sitemap.xml")).alias("sitemap_url"), F.concat(F.lit('<?xml version="1.0"?><urlset>'), F.coalesce("l", F.lit("")), F.coalesce("i", F.lit("")), F.lit("</urlset>")).alias("xml"))
+    return D.sitemap_urls(roots.unionByName(leaves.select("sitemap_url", "xml")), roots)
+
+
+@_query(f"SELECT DISTINCT {_ORIGIN} || '/' AS seed_url, {_NORMAL} AS url FROM pages WHERE page_id % 3 <> 0 AND NOT regexp_matches({_PATH}, '[^!-~]')")
+def feed_urls(spark, sf_dir):
+    rows = _pages(spark, sf_dir).where(~U._part(F.col("url"), 3).rlike("[^!-~]"))
+    link = F.when(F.col("page_id") % 3 == 0, F.lit("https://elsewhere.example/x")).otherwise(F.col("url"))
+    xml = F.concat(F.lit("<item><link>"), link, F.lit("</link></item><atom:link href='/style.css'/>"))
+    return D.feed_urls(rows.select(F.concat(U.origin(F.col("url")), F.lit("/")).alias("seed_url"), xml.alias("xml")))
+
+
+@_query(f"SELECT page_id, NOT regexp_matches({_PATH}, '^/en/[0-9]') OR regexp_matches({_PATH}, '^/en/4.*\\.html$') AS allowed FROM pages")
+def robots_allowed(spark, sf_dir):
+    rows = _pages(spark, sf_dir).select("page_id", "url", U.origin(F.col("url")).alias("site"))
+    digits = "".join(f"Disallow: /en/{d}\n" for d in range(10))
+    raw = "User-agent: bad\nDisallow: /\n\nUser-agent: *\n" + digits + "Allow: /en/4*.html$  # kept\n"
+    return D.robots_allowed(rows, D.robots_rules(rows.select("site").distinct().withColumn("raw", F.lit(raw)))).select("page_id", "allowed")
+
+
+@_query(
+    """SELECT page_id, CASE WHEN page_id % 3 = 0 AND page_id % 2 = 0 THEN 'skippedProtected' WHEN page_id % 3 <> 0 AND page_id % 2 = 0 AND page_id % 5 > 0 AND page_id % 7 = 0 THEN 'skippedExisting'
+WHEN page_id % 3 <> 0 AND page_id % 2 = 0 THEN 'filledImages' ELSE 'added' END AS action FROM pages"""
+)
+def import_actions(spark, sf_dir):
+    i = F.col("page_id")
+    kind = F.when(i % 3 == 0, "pages").otherwise("blog")
+    return _pages(spark, sf_dir).select("page_id", P.import_action(kind, i % 2 == 0, i % 5, i % 7).alias("action"))
+
+
+@_query(
+    f"""WITH f AS (SELECT page_id, page_id || '.md' AS file, {_SLUG} AS slug, CASE WHEN {_BLOG} THEN 'blog' ELSE 'pages' END AS folder FROM pages),
+r AS (SELECT *, row_number() OVER w AS k, first_value(file) OVER w AS f1 FROM f WINDOW w AS (PARTITION BY slug ORDER BY page_id))
+SELECT file, 'error' AS level, 'Duplicate slug (used by ' || f1 || ')' AS message FROM r WHERE k > 1 UNION ALL SELECT file, 'error', 'Missing date' FROM r WHERE folder = 'blog' AND page_id % 2 = 0
+UNION ALL SELECT file, 'error', 'Missing description' FROM r WHERE page_id % 11 = 0"""
+)
+def validate_issues(spark, sf_dir):
+    base = T.slug(F.regexp_replace(F.regexp_replace(F.coalesce(F.nullif(U._part(F.col("url"), 3), F.lit("")), F.lit("/")), "^/+|/+$", ""), "^$", "home"))
+    rows = _pages(spark, sf_dir).select(
+        F.col("page_id").alias("ord"), F.concat(F.col("page_id").cast("string"), F.lit(".md")).alias("file"), base.alias("slug"), F.when(F.col("url").rlike(P.BLOG_URL), "blog").otherwise("pages").alias("folder"),
+        F.lit("t").alias("title"), F.when(F.col("page_id") % 11 == 0, " ").otherwise("d").alias("description"), F.when(F.col("page_id") % 2 == 0, T.NO_DATE).otherwise("2024-01-02").alias("date"),
+    )
+    return P.validate(rows)
+
+
+@_query(
+    f"""SELECT {_ORIGIN} AS site, count(*) AS pages, count_if({_BLOG})::BIGINT AS posts, count_if(page_id % 6 = 0)::BIGINT AS flagged,
+ array_to_string(list_sort(list(page_id::VARCHAR) FILTER (page_id % 10 = 0)), ',') AS broken FROM pages GROUP BY 1"""
+)
+def report_summary(spark, sf_dir):
+    rows = _pages(spark, sf_dir).select("page_id", U.origin(F.col("url")).alias("site"), F.col("url").rlike(P.BLOG_URL).alias("post"))
+    broken = F.array_sort(F.collect_list(F.when(F.col("page_id") % 10 == 0, F.col("page_id").cast("string"))))
+    n = lambda c: F.count(F.when(c, 1))
+    out = rows.groupBy("site").agg(F.count(F.lit(1)).alias("pages"), n(F.col("post")).alias("posts"), n(F.col("page_id") % 6 == 0).alias("flagged"), broken.alias("b"))
+    return out.select("site", "pages", "posts", "flagged", F.when(F.size("b") > 0, F.array_join("b", ",")).alias("broken"))
+
+
+@_query("SELECT doc_id, coalesce(nullif(trim(left(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), 180)), ''), 'Untitled') AS description FROM documents")
+def fallback_description(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.description(F.lit(None).cast("string"), F.col("text"), F.lit("")).alias("description"))
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 5 = 0 THEN '1970-01-01' ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events")
+def front_date(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 5 == 0, F.lit("soon")).when(F.col("event_id") % 5 == 1, F.date_format("ts", "MMMM d, yyyy")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    return table(spark, sf_dir, "events").select("event_id", T.front_date(raw).alias("day"))
+
+
+@_query(
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace('![a](data:x) ' || text || chr(13) || chr(10), chr(13) || chr(10), chr(10)), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '!\[[^\]]*\]\(data:[^)]+\)', '', 'g'), chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12) || chr(160)) || chr(10) AS markdown FROM documents"""
+)
+def markdown_cleanup(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_markdown(F.concat(F.lit("![a](data:x) "), "text", F.lit("\r\n"))).alias("markdown"))
+
+
+@_query("SELECT doc_id, doc_id || '.png' AS first_image, 2::BIGINT AS n FROM documents")
+def markdown_images(spark, sf_dir):
+    md = F.concat(F.lit("![one]("), F.col("doc_id").cast("string"), F.lit('.png "t") ![](b.jpg)'))
+    found = T.markdown_images(md)
+    return table(spark, sf_dir, "documents").select("doc_id", F.get(found, 0).alias("first_image"), F.size(found).cast("long").alias("n"))
+
+
+_HOSTS = "(VALUES " + ", ".join(f"('{h}', '{p}')" for h, p in P.SOCIAL.items()) + ") AS s(host, platform)"
+_LINKS = ["https://www.instagram.com/a", "https://x.com/b", "https://fb.com/c", "https://example.org/d", "https://youtu.be/e"]
+
+
+@_query("WITH l AS (SELECT page_id, ['" + "','".join(_LINKS) + f"'][1 + page_id % 5] AS href FROM pages) SELECT page_id, platform, href FROM l JOIN {_HOSTS} ON s.host = regexp_replace(regexp_extract(href, '^https?://([^/]+)', 1), '^www\\.', '')")
+def social_links(spark, sf_dir):
+    hosts = F.broadcast(spark.createDataFrame(list(P.SOCIAL.items()), "host string, platform string"))  # a fixed table
+    href = F.element_at(F.array(*[F.lit(x) for x in _LINKS]), (F.col("page_id") % 5 + 1).cast("int"))
+    rows = _pages(spark, sf_dir).select("page_id", href.alias("href"))
+    return rows.withColumn("host", F.regexp_replace(U.hostname(F.col("href")), r"^www\.", "")).join(hosts, "host").select("page_id", "platform", "href")
+
+
+@_query(
+    """WITH RECURSIVE e AS (SELECT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation UNION SELECT n_nationkey, (n_nationkey + 5) % 25 FROM nation),
+r AS (SELECT 0 AS url, 0 AS depth UNION SELECT e.dst, r.depth + 1 FROM r JOIN e ON e.src = r.url WHERE r.depth < 10) SELECT url, min(depth) AS depth FROM r GROUP BY 1"""
+)
+def crawl_depths(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey")
+    k = F.col("n_nationkey")
+    links = n.select(k.alias("src"), ((k * 7 + 3) % 25).alias("dst")).union(n.select(k.alias("src"), ((k + 5) % 25).alias("dst")))
+    return P.crawl(n.where("n_nationkey = 0").select(k.alias("url")), links, 10)
+
+
+@_query()
+def page_markdown(spark, sf_dir):
+    return _extracted(spark, sf_dir).select("page_id", "title", "markdown", F.size("headings").alias("n_headings"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages normalised, first of each address, titled, numbered within their site and put into folders."""
+    rows = _pages(spark, sf_dir).withColumn("normalized_url", U.normalize(F.col("url"))).withColumn("site", U.origin(F.col("url")))
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("site", "normalized_url").orderBy("page_id"))).where("nth = 1")
+    titled = P.extract(first).select("page_id", "site", "normalized_url", F.col("page.title").alias("title"), T.slug(U.path_name(F.col("url"))).alias("base"), F.col("url").rlike(P.BLOG_URL).alias("is_blog"))
+    return P.number_slugs(titled, "base", "page_id").withColumn("folder", P.folder(F.lit("page"), F.col("is_blog")))
