@@ -6,7 +6,7 @@ random with the odds that keep both expectations, until one of them has a whole
 The documents of a source are dealt into buckets of about FAN; each bucket leaves one document that is still fractional, which
 goes up a reduction tree of the same fan until one is left for each source, whose last copy is drawn by its remaining odds.
 
-The draws are hashes of the ids and the seed: a rerun gives the same mix. Null texts and texts without words have size 0 and are
+The draws are hashes of the ids, the sizes and the seed: a rerun gives the same mix, however the rows are partitioned. Null texts and texts without words have size 0 and are
 never taken. A null source is a source of its own, the last one. Rows with equal ids are separate documents. An empty table gives
 an empty mix.
 """
@@ -63,7 +63,7 @@ def _meet(seed: int):
     def fold(acc: Column, x: Column) -> Column:
         a_gets = F.least((1 - acc["p"]) * acc["size"], x["p"] * x["size"])
         b_gets = F.least(acc["p"] * acc["size"], (1 - x["p"]) * x["size"])
-        to_a = _draw(seed, acc["id"], acc["uid"], x["id"], x["uid"]) * (a_gets + b_gets) < b_gets
+        to_a = _draw(seed, acc["id"], acc["size"], x["id"], x["size"]) * (a_gets + b_gets) < b_gets
         moved = F.when(to_a, a_gets).otherwise(-b_gets)
         snap = lambda p: F.when(p < _EPS, F.lit(0.0)).when(p > 1 - _EPS, F.lit(1.0)).otherwise(p)
         return F.transform(F.array(F.struct(snap(acc["p"] + moved / acc["size"]).alias("a"), snap(x["p"] - moved / x["size"]).alias("b"))), lambda n: F.struct(
@@ -83,7 +83,7 @@ _KEYS = ["source", "source_size", "target", "whole"]
 
 def _round(level: DataFrame, seed: int) -> DataFrame:
     """A row for each bucket: done, the settled documents, and rest, the one that is left."""
-    got = level.groupBy(*_KEYS, "bucket", "buckets").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "id").alias("h"), "id", "uid", "size", "p"))).alias("all"))
+    got = level.groupBy(*_KEYS, "bucket", "buckets").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "id", "size").alias("h"), "id", "size", "uid", "p"))).alias("all"))
     first = F.col("all")[0]
     start = F.struct(F.expr("CAST(array() AS array<struct<id:bigint,uid:bigint,size:bigint,p:double>>)").alias("done"), first["id"].alias("id"), first["uid"].alias("uid"), first["size"].alias("size"), first["p"].alias("p"))
     return got.select(*_KEYS, "bucket", "buckets", F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), start, _meet(seed)).alias("r"))
@@ -97,7 +97,7 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     few = small_side(goal.withColumnRenamed("source", "__source"))
     rows = sizes.join(few, F.col("source").eqNullSafe(F.col("__source")), "inner").drop("__source")
     settled = [rows.where((F.col("size") == 0) | (F.col("odds") < _EPS)).select("id", "size", *_KEYS, F.when(F.col("size") > 0, F.col("whole")).otherwise(0).cast("long").alias("copies"))]
-    spread = F.xxhash64(F.lit(seed), F.coalesce("id", "uid"))
+    spread = F.xxhash64(F.lit(seed), "id", "size")
     level = rows.where((F.col("size") > 0) & (F.col("odds") >= _EPS)).select(*_KEYS, "id", "uid", "size", F.col("odds").alias("p"), F.ceil(F.col("docs") / FAN).alias("buckets"))
     level = level.withColumn("bucket", F.pmod(spread, F.col("buckets")))
     depth, n = 1, -(-most // FAN)
@@ -108,7 +108,7 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
         done = rounded.select(*_KEYS, F.inline("r.done"))
         settled.append(done.select("id", "size", *_KEYS, (F.col("whole") + F.col("p").cast("long")).alias("copies")))
         level = rounded.select(*_KEYS, F.col("r.id").alias("id"), F.col("r.uid").alias("uid"), F.col("r.size").alias("size"), F.col("r.p").alias("p"), F.floor(F.col("bucket") / FAN).alias("bucket"), F.ceil(F.col("buckets") / FAN).alias("buckets"))
-    last = (_draw(seed, F.col("id"), F.col("uid")) < F.col("p")).cast("long")
+    last = (_draw(seed, F.col("id"), F.col("size")) < F.col("p")).cast("long")
     settled.append(level.select("id", "size", *_KEYS, (F.col("whole") + last).alias("copies")))
     out = settled[0]
     for more in settled[1:]:
@@ -132,7 +132,7 @@ def sizes_of(df: DataFrame, id_col: str, text_col: str, source_col: str) -> Data
 def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The rows of df, each as often as the mix takes it. Rows with equal ids share their copies in any order."""
     taken = mix(sizes_of(df, id_col, text_col, source_col), **how).groupBy(F.col("id").alias("__id")).agg(F.array_sort(F.collect_list("copies")).alias("__each"))
-    taken = written(taken, "copies")
+    taken = written(taken, "copies").hint("merge")  # one plan at every size: it has a row for each document
     packed = df.select(F.col(id_col).cast("long").alias("__key"), F.struct("*").alias("__row"))
     same = F.col("__key").eqNullSafe(F.col("__id"))
     if taken.where((F.size("__each") > 1) | F.col("__id").isNull()).isEmpty():
