@@ -29,6 +29,15 @@ MAIN = [
     "main", "article", "[role='main']", "#content", ".content", "#main", ".main", "#SITE_PAGES", ".SITE_PAGES", "[data-testid='page']", ".wixui-rich-text",
     ".blog-post", ".blog-post-content", ".post-content", ".entry-content", ".sqs-layout", ".w-richtext",
 ]
+PLATFORM_CHROME = {
+    "wix": "[data-testid='TINY_MENU'], [id*='comp-'][class*='hidden'], wix-iframe, #SCROLL_TO_TOP, #SCROLL_TO_BOTTOM, [data-hook='cookie-consent-banner']",
+}
+PLATFORM_MAIN = {
+    "wix": ["#SITE_PAGES", "#PAGES_CONTAINER", "[data-testid='page']", "main", "[role='main']", "#site-root"],
+    "wordpress": ["article .entry-content", ".entry-content", "article.post", "article", ".post-content", ".hentry"],
+}
+INFO_PAGE = r"(?i)^/(about|contact|bio|cv|press|privacy|legal)/?$"
+PLAIN_PAGE = r"(?i)^/(about|contact|manifesto|privacy|legal)/?$"
 MENUS = ["nav", "[role='navigation']", "header nav", "#SITE_HEADER nav", ".Header-nav", ".navbar", ".menu"]
 SOCIAL = {
     "facebook.com": "facebook", "fb.com": "facebook", "instagram.com": "instagram", "twitter.com": "twitter", "x.com": "twitter", "linkedin.com": "linkedin",
@@ -76,7 +85,11 @@ def _title(page: Node) -> str:
     return _meta(page, "og:title") or (_squeezed(heading.text()) if heading else "") or cut or whole or "Untitled"
 
 
-def _main(page: Node) -> Node:
+def _main(page: Node, platform: str = "generic") -> Node:
+    for selector in PLATFORM_MAIN.get(platform, []):
+        node = page.first(selector)
+        if node is not None and (len(node.text().strip()) > 40 or (platform == "wix" and len(node.select("img")) >= 3)):
+            return node
     for selector in MAIN:
         node = page.first(selector)
         if node is not None and len(node.text().strip()) > 40:
@@ -148,9 +161,10 @@ def markdown(node: Node) -> str:
 _BLOCK = frozenset("p div section article main h1 h2 h3 h4 h5 h6 ul ol pre blockquote hr figure table tr header footer aside body".split())
 
 
-def extract_page(html: str | None) -> tuple:
-    """One page's row of EXTRACTED; addresses are as they stand in the page."""
-    page = parse(html)
+def extract_page(html: str | None, platform: str | None = "generic") -> tuple:
+    """One page's row of EXTRACTED; addresses are as they stand in the page. The platform decides where the main part is looked for;
+    on wix, images and galleries outside it follow those within."""
+    page, platform = parse(html), platform or "generic"
     title, description = _title(page), _meta(page, "og:description", "description")
     nav_links: list[Node] = next((found for s in MENUS if (found := [a for n in page.select(s) for a in n.select("a[href]")])), []) or page.select("header a[href], #SITE_HEADER a[href]")
     nav = list(dict.fromkeys((_squeezed(a.text()), a.get("href")) for a in nav_links))
@@ -158,24 +172,26 @@ def extract_page(html: str | None) -> tuple:
     canonical = page.first("link[rel='canonical']")
     blog = _meta(page, "og:type") == "article" or page.first("meta[property='article:published_time']") is not None
     published, author = _meta(page, "article:published_time", "publish-date"), _meta(page, "article:author", "author")
-    for node in page.select(CHROME):
+    for node in page.select(", ".join(filter(None, [CHROME, PLATFORM_CHROME.get(platform)]))):
         node.remove()
     blog = blog or page.first("article.blog-post, .blog-post, .post-content, .entry-content, [data-testid='post-content'], .blog-post-page, article.post") is not None
-    main = _main(page)
+    main = _main(page, platform)
+    parts = [main, page] if platform == "wix" else [main]
     time, by = main.first("time[datetime]"), main.first("[rel='author'], .author")
     images, seen = [], set()
-    for img in main.select("img"):
-        src = _source(img)
+    for img in [i for part in parts for i in part.select("img")]:
+        src = _source(img) or (img.get("data-pin-media") if platform == "wix" else None)
         if src and src not in seen:
             seen.add(src)
             images.append((src, img.get("alt"), _number(img.get("width")), _number(img.get("height"))))
     links = list({a.get("href"): (a.get("href"), _squeezed(a.text())) for a in reversed(main.select("a[href]"))}.values())[::-1]
     videos = [(v.get("src"), v.get("title")) for v in main.select("video[src], source[src], iframe[src]") if v.tag != "iframe" or re.search(r"youtube|youtu\.be|vimeo|wistia", v.get("src"))]
     galleries = []
-    for g in main.select("[class*='gallery'], [class*='Gallery'], [data-testid*='gallery']"):
-        sources = list(dict.fromkeys(s for i in g.select("img") if (s := _source(i))))
-        if len(sources) >= 3:
-            galleries.append(sources)
+    for part in parts:
+        for g in part.select("[class*='gallery'], [class*='Gallery'], [data-testid*='gallery']"):
+            sources = list(dict.fromkeys(s for i in g.select("img") if (s := _source(i))))
+            if len(sources) >= 3 and (part is main or all(sources[0] != x[0] for x in galleries)):
+                galleries.append(sources)
     headings = [h for n in main.select("h1, h2, h3, h4, h5, h6") if (h := _squeezed(n.text()))]
     return (
         title, description, headings, _squeezed(main.text()), main.inner(), page.get("lang"), canonical.get("href") if canonical else None, blog,
@@ -188,15 +204,30 @@ def _columns() -> list[str]:
     return [x.strip().split(" ")[0] for x in re.split(r",\s*(?=[a-z_]+ (?:string|array|boolean))", EXTRACTED)]
 
 
-def extract(pages: DataFrame, html: str = "html", extractor: Callable = extract_page) -> DataFrame:
-    """pages with a column page, the struct EXTRACTED of each; the page is parsed once."""
+def extract(pages: DataFrame, html: str = "html", extractor: Callable = extract_page, platform: str | None = None) -> DataFrame:
+    """pages with a column page, the struct EXTRACTED of each; the page is parsed once. platform names a column such as detect adds."""
 
     @F.pandas_udf(f"struct<{', '.join(x.replace(' ', ':', 1) for x in re.split(r',\s*(?=[a-z_]+ (?:string|array|boolean))', EXTRACTED))}>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([extractor(x) for x in batch], columns=_columns())
-
-    return pages.withColumn("page", run(html))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for batch, kinds in batches:
+            yield pd.DataFrame([extractor(x, k) for x, k in zip(batch, kinds, strict=True)], columns=_columns())
+
+    return pages.withColumn("page", run(html, platform or F.lit("generic")))
+
+
+def with_kind(pages: DataFrame, platform: str = "platform", url: str = "url", page: str = "page") -> DataFrame:
+    """extracted pages with is_blog, kind and galleries, by the rules of their platform. On wix, pages of images without a gallery
+    become one of all their images, unless they tell about the owner."""
+    p, at, x = F.col(platform), U.path(F.col(url)), F.col(page)
+    marked = F.col(url).rlike(BLOG_URL) | F.coalesce(x["blog_marks"], F.lit(False))
+    is_blog = F.when(p == "wordpress", ~at.rlike(PLAIN_PAGE) & (marked | F.col(url).rlike(r"/\d{4}/\d{2}/"))).otherwise(marked)
+    heavy = (F.size(x["galleries"]) >= 1) | (F.size(x["images"]) >= 4) | x["text_content"].rlike(r"1\s*/\s*\d+")
+    wix = F.when(at.rlike(INFO_PAGE), "page").when(heavy, "gallery").otherwise("page")
+    generic = F.when((F.size(x["galleries"]) > 0) & (F.size(x["headings"]) == 0), "gallery").otherwise("page")
+    out = pages.withColumn("is_blog", is_blog)
+    out = out.withColumn("kind", F.when(F.col("is_blog"), "blog").when(p == "wix", wix).when(p == "wordpress", "page").otherwise(generic))
+    made = (p == "wix") & (F.col("kind") == "gallery") & (F.size(x["galleries"]) == 0)
+    return out.withColumn("galleries", F.when(made, F.array(F.transform(x["images"], lambda i: i["src"]))).otherwise(x["galleries"]))
 
 
 def platform_scores(html: Column, url: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import text as T
 from webloom.functions import urls as U
+from webloom.operators import packs as K
 from webloom.operators import pages as P
 from webloom.session import table
 from webloom.sources import discovery as D
@@ -316,6 +317,97 @@ def page_markdown(spark, sf_dir):
     return _extracted(spark, sf_dir).select("page_id", "title", "markdown", F.size("headings").alias("n_headings"))
 
 
+# Content packs: heroes, galleries and images by page number, some shared by pages, a quarter of the own ones not downloaded.
+_PACK = f"""WITH p AS (SELECT page_id AS ord, {_ORIGIN} AS site, url, CASE WHEN {_BLOG} THEN 'blog' WHEN page_id % 3 = 0 THEN 'portfolio' ELSE 'pages' END AS folder,
+ 'https://cdn.x/' || page_id % 7 || '.png' AS hero, 'https://cdn.x/g' || page_id % 5 || '.jpeg' AS g, 'https://cdn.x/' || page_id % 3 || '.png' AS i, 'https://cdn.x/u' || page_id || '.webp' AS u FROM pages),
+r AS (SELECT site, ord, folder, 0 AS pos, hero AS remote FROM p UNION ALL SELECT site, ord, folder, 1, g FROM p UNION ALL SELECT site, ord, folder, 2, i FROM p WHERE i <> hero UNION ALL SELECT site, ord, folder, 3, u FROM p WHERE ord % 4 <> 0),
+f AS (SELECT *, min(ord) OVER (PARTITION BY site, remote) AS fo FROM r),
+n AS (SELECT *, sum(CASE WHEN pos = 0 AND fo = ord THEN 0 ELSE 1 END) OVER (PARTITION BY site, ord ORDER BY pos) AS k FROM f),
+paths AS (SELECT site, remote AS remote_url, '/images/' || folder || '/p' || ord || '-' || CASE WHEN pos = 0 THEN 'hero' ELSE k::BIGINT::VARCHAR END ||
+ CASE pos WHEN 1 THEN '.jpg' WHEN 3 THEN '.webp' ELSE '.png' END AS site_path FROM n WHERE fo = ord)"""
+
+
+def _pack(spark, sf_dir):
+    """pages, references and site paths."""
+    at = lambda before, n, after: F.concat(F.lit(f"https://cdn.x/{before}"), n.cast("string"), F.lit(after))
+    i = F.col("page_id")
+    pages = _pages(spark, sf_dir).select(
+        U.origin(F.col("url")).alias("site"), i.alias("ord"), "url", F.concat(F.lit("p"), i.cast("string")).alias("slug"), at("", i % 7, ".png").alias("hero_image"),
+        F.array(F.array(at("g", i % 5, ".jpeg"))).alias("galleries"), F.array(at("", i % 3, ".png"), at("u", i, ".webp")).alias("images"),
+        F.when(i % 3 == 0, "gallery").otherwise("page").alias("kind"), F.col("url").rlike(P.BLOG_URL).alias("is_blog"),
+    )
+    refs = K.image_references(pages)
+    got = refs.where(~F.col("remote_url").contains("/u") | (F.col("ord") % 4 != 0)).select("site", "remote_url").distinct()
+    return pages, refs, K.assign_site_paths(refs, pages, got.withColumn("relative_path", F.regexp_replace("remote_url", "^https://cdn.x", "images")))
+
+
+@_query(_PACK + " SELECT * FROM paths")
+def site_paths(spark, sf_dir):
+    return _pack(spark, sf_dir)[2]
+
+
+@_query(
+    _PACK
+    + """ SELECT p.site, p.folder || '/p' || p.ord || '.md' AS path, '---' || chr(10) || 'title: "T \\"q\\""' || chr(10) || 'description: "d"' || chr(10) || 'slug: "p' || p.ord || '"' || chr(10) || 'date: "2024-01-02"' || chr(10) ||
+ 'sourceUrl: "' || p.url || '"' || chr(10) || 'heroImage: "' || h.site_path || '"' || chr(10) || 'gallery:' || chr(10) || '  - "' || g.site_path || '"' || CASE WHEN p.folder = 'blog' THEN chr(10) || 'tags:' || chr(10) || '  - "a"' ELSE '' END ||
+ chr(10) || '---' || chr(10) || chr(10) || '# T' || chr(10) || chr(10) || '![x](' || h.site_path || ')' || chr(10) || chr(10) || '## Videos' || chr(10) || chr(10) || '- [Video](v.mp4)' || chr(10) AS content
+ FROM p JOIN paths h ON h.site = p.site AND h.remote_url = p.hero JOIN paths g ON g.site = p.site AND g.remote_url = p.g"""
+)
+def pack_markdown(spark, sf_dir):
+    pages, refs, paths = _pack(spark, sf_dir)
+    pages = pages.select(
+        "*", F.lit('T "q"').alias("title"), F.lit("d").alias("description"), F.lit("2024-01-02").alias("date"), F.lit(None).cast("string").alias("author"), F.array().cast("array<string>").alias("categories"), F.array(F.lit("a")).alias("tags"),
+        F.lit("").alias("text_content"), F.concat(F.lit("# T\n\n![x]("), "hero_image", F.lit(")\n")).alias("markdown"),
+        F.array(F.struct(F.lit("v.mp4").alias("src"), F.lit(None).cast("string").alias("title"))).alias("videos"), F.lit(None).cast("array<struct<href:string,text:string>>").alias("files"),
+    )
+    return K.generate_markdown(pages, refs, paths)
+
+
+@_query(_PACK + """ SELECT r.site, p.url AS page_url, r.remote AS remote_url, s.site_path, array_to_string(list_filter(['other-host', CASE WHEN p.folder = 'blog' AND r.pos > 0 AND ord % 3 > 0 THEN 'inline-blog' END], lambda x: x IS NOT NULL), ',') AS flags
+ FROM (SELECT site, ord, pos, remote FROM r UNION ALL SELECT site, ord, 3, u FROM p WHERE ord % 4 = 0) r JOIN p USING (site, ord) LEFT JOIN paths s ON s.site = r.site AND s.remote_url = r.remote""")
+def image_review(spark, sf_dir):
+    pages, refs, paths = _pack(spark, sf_dir)
+    return K.review_images(refs, pages.withColumn("seed_url", F.col("url")).withColumn("title", F.lit("t")), paths).withColumn("flags", F.array_join("flags", ","))
+
+
+@_query(
+    f"""WITH s AS (SELECT {_ORIGIN} AS site, count(*) AS n, count_if({_BLOG})::BIGINT AS posts, array_to_string(list_sort(list(page_id::VARCHAR) FILTER (page_id % 10 = 0)), chr(10) || '- ') AS broken, count_if(page_id % 10 = 0)::BIGINT AS nb FROM pages GROUP BY 1)
+SELECT site, replace('# Migration Summary~~**Seed URL:** ' || site || '~~**Platform:** generic~~**Started:** a~~**Finished:** b~~## Counts~~| Metric | Count |~| --- | ---: |~| Pages | ' || n || ' |~| Blog Posts | ' || posts || ' |~| Images | 0 |~| Galleries | 0 |~| Broken Images | ' || nb ||
+ ' |~| Broken Links | 0 |~| Missing Metadata | 2 |~~## Review~~See `image-review.json` for per-image flags (chrome, other-host, title-name-in-media, inline-blog).~' || CASE WHEN nb > 0 THEN '~## Broken Images~~- ' || broken || '~' ELSE '' END || '~## Missing Metadata~~- description~- navigation~', '~', chr(10)) AS report FROM s"""
+)
+def report_files(spark, sf_dir):
+    rows = _pages(spark, sf_dir).select("page_id", U.origin(F.col("url")).alias("site"), F.col("url").rlike(P.BLOG_URL).alias("post"))
+    broken = F.array_sort(F.collect_list(F.when(F.col("page_id") % 10 == 0, F.col("page_id").cast("string"))))  # the list is what the report shows
+    out = rows.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("post"), 1)).alias("posts"), broken.alias("broken"))
+    none, zero = F.array().cast("array<string>"), F.lit(0)
+    gone = K.missing_metadata(F.lit("t"), F.lit(None).cast("string"), F.lit("i"), F.lit(0))
+    values = {"seed_url": F.col("site"), "platform": F.lit("generic"), "started": F.lit("a"), "finished": F.lit("b"), "pages": F.col("n"), "blog_posts": F.col("posts"), "images": zero, "galleries": zero, "broken_images": F.col("broken"), "broken_links": none, "missing_metadata": gone, "warnings": none, "recommendations": none}
+    return out.select("site", K.report_markdown(values).alias("report"))
+
+
+@_query(
+    f"""WITH e AS (SELECT page_id, {_ORIGIN} AS pack, CASE WHEN {_BLOG} THEN 'blog' ELSE 'pages' END AS collection, page_id % 5 AS k FROM pages)
+SELECT pack, collection, 'p' || page_id AS slug, CASE WHEN collection = 'pages' THEN CASE WHEN page_id = 2 THEN 'skippedProtected' ELSE 'added' END WHEN page_id % 2 = 1 THEN 'added' WHEN k < 3 THEN 'skippedExisting' ELSE 'filledImages' END AS action,
+ 't: 1' AS title, CASE WHEN collection = 'blog' THEN '2024-01-02' END AS date, CASE WHEN k <> 1 THEN '/images/' || k || '.png' END AS hero, CASE WHEN k = 1 THEN 'text' || chr(10) ELSE '![x](/images/' || k || '.png)' || chr(10) || chr(10) || 'text' || chr(10) END AS body FROM e"""
+)
+def import_packs(spark, sf_dir):
+    i = F.col("page_id")
+    image = F.concat(F.lit("/images/"), (i % 5).cast("string"), F.lit(".png"))
+    body = F.concat(F.lit("![x]("), image, F.lit(")\n\ntext\n"))
+    rows = _pages(spark, sf_dir).select("page_id", U.origin(F.col("url")).alias("pack"), F.when(F.col("url").rlike(P.BLOG_URL), "blog").otherwise("pages").alias("collection"), F.concat(F.lit("p"), i.cast("string")).alias("slug"), image.alias("site_path"),
+                                          K.markdown_file({"title": F.lit("t: 1"), "slug": F.lit("x"), "date": F.lit("2024-01-02"), "heroImage": image}, body).alias("content"))
+    files = rows.where(i % 5 < 3).select("site_path").distinct().withColumnRenamed("site_path", "path")
+    review = rows.where(i % 5 == 1).select("pack", "site_path").distinct().withColumn("flags", F.array(F.lit("chrome")))
+    plan = K.import_pack(rows.select("pack", "collection", "slug", "content"), rows.where(i % 2 == 0), files, review, ["p2"])
+    return plan.select("pack", "collection", "slug", "action", "front.title", "front.date", F.col("front.heroImage").alias("hero"), "body")
+
+
+@_query()
+def page_kinds(spark, sf_dir):
+    rows = P.with_kind(P.extract(P.detect(_pages(spark, sf_dir)), platform="platform"))
+    return rows.select("page_id", "platform", "is_blog", "kind", F.size("galleries").alias("n_galleries"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages normalised, first of each address, titled, numbered within their site and put into folders."""
     rows = _pages(spark, sf_dir).withColumn("normalized_url", U.normalize(F.col("url"))).withColumn("site", U.origin(F.col("url")))
