@@ -148,6 +148,43 @@ def test_near_dedup(docs, spark):
     assert kept.columns == docs.columns and kept.count() == near_dedup.near_dedup(docs).where("kept").count()
 
 
+def test_near_dedup_chains(spark):
+    """A hub, edited copies of it and edited copies of those: the classes of all pairs."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    fresh = iter(range(10**6))
+
+    def edited(text, n):
+        w = text.split()
+        at = int(rng.integers(0, len(w) - n))
+        return " ".join([*w[:at], *(f"e{next(fresh)}" for _ in range(n)), *w[at + n :]])
+
+    texts = []
+    for g in range(6):
+        hub = " ".join(f"g{g}w{x}" for x in rng.integers(0, 5000, 200))
+        copies = [edited(hub, 10) for _ in range(25)]
+        texts += [hub, *copies, *(edited(c, 12) for c in copies[:12])]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = type("Idf", (), {"value": near_dedup.idf_table(table.select("text"), len(texts))})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["uid", "text"])
+    vector = next(near_dedup._vectors(idf)(iter([batch]))).column(1).to_pylist()
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j) and near_dedup.weighted_jaccard(vector[i], vector[j]) >= near_dedup.THRESHOLD:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(table).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 def test_passages(docs, rows):
     where = defaultdict(set)
     for r in rows:

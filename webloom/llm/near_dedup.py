@@ -7,8 +7,8 @@ so the table stays as true and as small as the corpus grows. The damping keeps o
 outweighing all that the copies share.
 
 Each document gets BANDS * ROWS samples. Documents that share a band meet in a bucket. A bucket is no pairs' product: first the one
-document that shares most with others is held against the rest. What it does not link is compared in blocks of bounded size:
-samples rule out pairs that are far off, pairs that links already join are passed over, and the others' weighted Jaccard similarity is
+document that shares most with others is held against the rest. What it does not link is compared with all of the bucket, linked or not, in
+blocks of bounded size: samples rule out pairs that are far off, pairs that links already join are passed over, and the others' weighted Jaccard similarity is
 computed from their whole texts. Links of at least the threshold make classes by connected components.
 
 Equal texts (in all their words) are collapsed before and expanded after. Null texts and texts without words are classes of their own. Texts
@@ -198,13 +198,13 @@ def _block_links(threshold: float):
                 return x
 
             links = []
-            for i in range(len(uid) - 1):
-                same = sig[i + 1 :] == sig[i]
-                # a pair is compared in the first band that it shares
+            for i in np.flatnonzero(part == lo):
+                others = np.flatnonzero(part == hi) if lo < hi else np.arange(i + 1, len(uid))
+                others = others[label[others] != label[i]]
+                same = sig[others] == sig[i]
+                # a pair is compared in the first band that it shares: of two labels, one is not the leader's in any of its buckets
                 ok = (same.sum(axis=1) >= SHARED) & ~same.reshape(len(same), BANDS, ROWS)[:, : band[i]].all(axis=2).any(axis=1)
-                if lo < hi:
-                    ok &= part[i + 1 :] != part[i]
-                for j in np.flatnonzero(ok) + i + 1:
+                for j in others[ok]:
                     x, y = find(int(label[i])), find(int(label[j]))
                     if x != y and weighted_jaccard(vector[i], vector[j]) >= threshold:
                         root[max(x, y)] = min(x, y)
@@ -231,11 +231,13 @@ def _linked(reps: DataFrame, vectors, threshold: float) -> DataFrame:
     both = near.join(table.withColumnsRenamed({"uid": "leader", "vector": "v1"}), "leader").join(table.withColumnRenamed("vector", "v2"), "uid").select("leader", "uid", "v1", "v2")
     first = written(both.mapInArrow(_verify, "leader long, uid long, similarity double").where(F.col("similarity") >= threshold).select("leader", "uid"), "first")
     links = first.select(F.col("leader").alias("a"), F.col("uid").alias("b"))
-    rest = met.join(first, ["leader", "uid"], "left_anti").select("key", "band", "uid")
-    rest = rest.join(components(links).select(F.col("v").alias("uid"), "root"), "uid", "left").withColumn("label", F.coalesce("root", "uid"))
+    labels = written(components(links), "labels")
+    # All rows of a bucket, for a row that the leader does not link may be near one that it does. Rows of the leader's own class are not held against each other.
+    rest = met.join(labels.select(F.col("v").alias("uid"), F.col("root").alias("r1")), "uid", "left").join(labels.select(F.col("v").alias("leader"), F.col("root").alias("r2")), "leader", "left")
+    rest = rest.select("key", "band", "uid", F.coalesce("r1", "uid").alias("label"), (F.coalesce("r1", "uid") == F.coalesce("r2", "leader")).alias("joined"))
     few = rest.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    rest = written(rest.join(few, "key").select("key", "band", "uid", "label"), "rest")
-    full = blocks(rest).select("key", "lo", "hi", "part", "band", "uid", "label")
+    rest = written(rest.join(few, "key").select("key", "band", "uid", "label", "joined"), "rest")
+    full = blocks(rest, joined="joined").select("key", "lo", "hi", "part", "band", "uid", "label")
     full = full.join(sigs, "uid").join(table, "uid").select("key", "lo", "hi", "part", "band", "uid", "label", "sig", "vector")
     full = full.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "uid")
     return links.unionByName(written(full.mapInArrow(_block_links(threshold), "a long, b long"), "second")).distinct()
