@@ -228,6 +228,13 @@ def test_main_text(spark):
     assert got[0] == "T0\n\nText 0 & more of it" and got[7] == got[8] == ""
 
 
+def test_main_text_constant_among_many(spark):
+    page = lambda i, n: (i, f"https://h{n}.x/{i}", "<article>" + "".join(f"<p>Text {i} {k}</p>" for k in range(n)) + "<p>Always here.</p></article>")
+    rows = [page(i, n) for n in (1, 10, 20, 40) for i in range(80 if n > 1 else 2)]
+    got = wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.url: r.text for r in got} == {u: "\n\n".join(f"Text {i} {k}" for k in range(h.count("<p>") - 1)) for i, u, h in rows}
+
+
 def test_tree_matching():
     s = lambda label, *c: wrapper.Shape(label, children=list(c))
     a, b = s("r", s("x", s("y")), s("z")), s("r", s("x"), s("w"), s("z"))

@@ -2,8 +2,8 @@
 
 A page's tree is cut down to its shape: neighbours of one tag and class are one repeated node. Pages of one host are aligned by simple
 tree matching (the largest set of node pairs that keeps parents and order), and merged into a wrapper: each node counts the pages that
-have it and the texts that stand in it. Hosts of any size are merged in parts of FAN pages and the wrappers of parts again, so no task
-holds a host. A text that most of the host's pages have in the same node is constant and belongs to the template; a text that varies is in a slot.
+have it. Hosts of any size are merged in parts of FAN shapes and the wrappers of parts again, so no task holds a host. The pages that have a
+text in a node are counted exactly, by host, path of the node and text. A text that most of the host's pages have in the same node is constant and belongs to the template; a text that varies is in a slot.
 Slots are content, but for those whose role is another's: menus, headers, footers, asides, notices, adverts, forms, comments, by
 their elements' names, roles and classes, and blocks that are mostly links.
 
@@ -13,9 +13,9 @@ of their own. Texts are never cut. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,9 +27,7 @@ from webloom.llm.common import arrow_batches, runs, written
 
 FAN = 64
 #: Pages a host needs for a template, and the share of them that a constant text has; inside an article the share is ARTICLE_SHARE.
-LEAST_PAGES, SHARE, ARTICLE_SHARE = 4, 0.5, 0.8
-#: Texts counted for a node: enough to keep any that more than 1 / (TEXTS + 1) of the pages have.
-TEXTS = 8
+LEAST_PAGES, SHARE, ARTICLE_SHARE = 2, 0.5, 0.8
 #: Bytes of wrappers that are broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -108,24 +106,25 @@ def blocks_of(page: Node) -> list[Block]:
     return [b for b in kept if 2 * b.links <= len(b.text)]
 
 
-def _key(text: str) -> int:
-    return zlib.crc32(text.encode("utf-8", "replace")) << 32 | len(text)
+def _key(block: Block) -> int:
+    """64 bits of a block's path and text."""
+    return int.from_bytes(hashlib.blake2b("\x1f".join((*block.path, block.text)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
 class Shape:
-    """A wrapper's node: label, the pages that have it, the texts in it with how many pages have them (Misra-Gries), and its children."""
+    """A wrapper's node: label, the pages that have it, and its children."""
 
-    __slots__ = ("label", "pages", "texts", "children")
+    __slots__ = ("label", "pages", "children")
 
-    def __init__(self, label: str, pages: int = 1, texts: dict[int, int] | None = None, children: list[Shape] | None = None):
-        self.label, self.pages, self.texts, self.children = label, pages, texts or {}, children or []
+    def __init__(self, label: str, pages: int = 1, children: list[Shape] | None = None):
+        self.label, self.pages, self.children = label, pages, children or []
 
     def plain(self) -> list:
-        return [self.label, self.pages, list(self.texts.items()), [c.plain() for c in self.children]]
+        return [self.label, self.pages, [c.plain() for c in self.children]]
 
     @classmethod
-    def of(cls, plain: list) -> Shape:
-        return cls(plain[0], plain[1], {k: v for k, v in plain[2]}, [cls.of(c) for c in plain[3]])
+    def of(cls, plain: list, times: int = 1) -> Shape:
+        return cls(plain[0], plain[1] * times, [cls.of(c, times) for c in plain[2]])
 
 
 def shape_of(blocks: list[Block]) -> Shape:
@@ -141,7 +140,6 @@ def shape_of(blocks: list[Block]) -> Shape:
             else:
                 found = at.children[-1]
             at = found
-        at.texts[_key(b.text)] = 1
     return root
 
 
@@ -164,12 +162,6 @@ def matched(a: Shape, b: Shape, sizes: dict | None = None) -> int:
 def merge(a: Shape, b: Shape, sizes: dict | None = None) -> Shape:
     """One wrapper of both: matched nodes are added up, others are put in at their place."""
     sizes = {} if sizes is None else sizes
-    texts = dict(a.texts)
-    for k, n in b.texts.items():
-        texts[k] = texts.get(k, 0) + n
-    if len(texts) > 4 * TEXTS:  # Misra-Gries: what is counted less than the (TEXTS + 1)th goes, and as much from the rest
-        cut = sorted(texts.values(), reverse=True)[TEXTS]
-        texts = {k: n - cut for k, n in texts.items() if n > cut}
     m, n = len(a.children), len(b.children)
     best = [[0] * (n + 1) for _ in range(m + 1)]
     for i in range(1, m + 1):
@@ -186,52 +178,60 @@ def merge(a: Shape, b: Shape, sizes: dict | None = None) -> Shape:
         else:
             children.append(b.children[j - 1])
             j -= 1
-    return Shape(a.label, a.pages + b.pages, texts, children[::-1])
+    return Shape(a.label, a.pages + b.pages, children[::-1])
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, shape and keys (of its texts, each once) of the pages of rows (host, html)."""
+    for batch in batches:
+        found = [blocks_of(parse(x)) for x in batch.column(1).to_pylist()]
+        shapes = [json.dumps(shape_of(b).plain(), separators=(",", ":")) for b in found]
+        keys = [list({_key(x) for x in b}) for b in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["host", "shape", "keys"])
 
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (host, part, html or wrapper), sorted: a wrapper for each host and part."""
+    """Rows of (host, part, how many pages have the shape, shape or wrapper), sorted: a wrapper for each host and part."""
     for t in runs(batches, 2):
         one = None
-        for kind, body in zip(t["kind"].to_pylist(), t["body"].to_pylist(), strict=True):
-            shape = shape_of(blocks_of(parse(body))) if kind == 0 else Shape.of(json.loads(body))
+        for n, body in zip(t["n"].to_pylist(), t["body"].to_pylist(), strict=True):
+            shape = Shape.of(json.loads(body), n)
             one = shape if one is None else merge(one, shape)
         yield pa.RecordBatch.from_arrays([pa.array([t["host"][0].as_py()]), pa.array([json.dumps(one.plain(), separators=(",", ":"))])], names=["host", "body"])
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host (a hash), body: the wrapper of each host with at least two pages, from all its pages. pages: host, id, html."""
-    counts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
-    counts = written(counts.withColumn("parts", F.ceil(F.col("n") / FAN).cast("int")), "hosts")
-    most = counts.agg(F.max("parts")).first()[0] or 1
-    level = pages.join(F.broadcast(counts.select("host", "parts")) if counts.count() < 100_000 else counts.select("host", "parts"), "host").select(
-        "host", F.pmod(F.xxhash64("id", F.length("html")), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), F.col("html").alias("body"), "id"
-    )
+    """host (a hash), body, common: the wrapper of each host with at least two pages, from all its pages, and the texts (key, n: pages) that
+    more than the share of them have. pages: host, html."""
+    counts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    counts = written(counts, "hosts")
+    hosts = F.broadcast(counts) if counts.count() < 100_000 else counts
+    shaped = written(pages.join(hosts, "host", "left_semi").select("host", "html").mapInArrow(_shapes, "host long, shape string, keys array<long>"), "shapes")
+    texts = shaped.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    texts = texts.join(hosts, "host").where(F.col("n") > min(SHARE, ARTICLE_SHARE) * F.col("pages"))
+    texts = texts.groupBy("host").agg(F.collect_list(F.struct("key", "n")).alias("common"))
+    level = written(shaped.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n")).select("host", "n", F.col("shape").alias("body")), "distinct")
+    parts = written(level.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("parts")), "parts")
+    most = parts.agg(F.max("parts")).first()[0] or 1
+    level = level.join(F.broadcast(parts) if counts.count() < 100_000 else parts, "host").select("host", F.pmod(F.xxhash64("body"), F.col("parts")).cast("int").alias("part"), "n", "body")
     k = 0
     while True:
-        dealt = level.repartition("host", "part").sortWithinPartitions("host", "part", "id").select("host", "part", "kind", "body")
-        made = written(dealt.mapInArrow(_induce, "host long, body string").withColumn("id", F.xxhash64("body")), f"wrappers{k}")
+        dealt = level.repartition("host", "part").sortWithinPartitions("host", "part", "body").select("host", "part", "n", "body")
+        made = written(dealt.mapInArrow(_induce, "host long, body string"), f"wrappers{k}")
         if most <= 1:
-            return made.select("host", "body")
+            return made.join(texts, "host", "left").select("host", "body", "common")
         most, k = -(-most // FAN), k + 1
-        n = F.lit(1) if most <= 1 else F.lit(most)
-        level = made.select("host", F.pmod("id", n).cast("int").alias("part"), F.lit(1).alias("kind"), "body", "id")
+        level = made.select("host", F.pmod(F.xxhash64("body"), F.lit(most)).cast("int").alias("part"), F.lit(1).alias("n"), "body")
 
 
 class Template:
     """Which texts of a path are constant on a host."""
 
-    def __init__(self, wrapper: Shape):
-        self.pages = wrapper.pages
-        self.root = wrapper
+    def __init__(self, wrapper: Shape, common: dict[int, int]):
+        self.pages, self.common = wrapper.pages, common
 
     def constant(self, block: Block) -> bool:
-        nodes = [self.root]
-        for label in block.path:
-            nodes = [c for n in nodes for c in n.children if c.label == label]
-        k = _key(block.text)
-        count = sum(n.texts.get(k, 0) for n in nodes)
-        return count > (ARTICLE_SHARE if block.in_article else SHARE) * self.pages
+        return self.common.get(_key(block), 0) > (ARTICLE_SHARE if block.in_article else SHARE) * self.pages
 
 
 def main_text(html: str | None, template: Template | None = None) -> str:
@@ -243,15 +243,15 @@ def main_text(html: str | None, template: Template | None = None) -> str:
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     templates: dict[int, Template] = {}
     for batch in batches:
-        host, body, html = (batch.column(i).to_pylist() for i in (batch.num_columns - 3, batch.num_columns - 2, batch.num_columns - 1))
+        host, body, common, html = (batch.column(batch.num_columns - i).to_pylist() for i in (4, 3, 2, 1))
         out = []
-        for h, b, page in zip(host, body, html, strict=True):
+        for h, b, texts, page in zip(host, body, common, html, strict=True):
             if b is not None and h not in templates:
                 if len(templates) > 256:
                     templates.clear()
-                templates[h] = Template(Shape.of(json.loads(b)))
+                templates[h] = Template(Shape.of(json.loads(b)), {x["key"]: x["n"] for x in texts or []})
             out.append(main_text(page, templates[h] if b is not None else None))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(out, pa.string())], names=[*batch.schema.names[:-3], "text"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(out, pa.string())], names=[*batch.schema.names[:-4], "text"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -259,10 +259,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     arrow_batches(pages.sparkSession, 128)
     host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1), F.lit(""))))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(html_col, F.lit("")).alias("html"))
-    found = wrappers(rows.select("host", F.xxhash64("id", "url").alias("id"), "html"))
-    size = found.agg(F.sum(F.length("body"))).first()[0] or 0
+    found = written(wrappers(rows.select("host", "html")), "templates")
+    size = found.agg(F.sum(F.length("body") + 16 * F.greatest(F.size("common"), F.lit(0)))).first()[0] or 0
     known = F.broadcast(found) if size <= BROADCAST_BYTES else found
-    joined = rows.join(known, "host", "left").select("id", "url", "host", "body", "html")
+    joined = rows.join(known, "host", "left").select("id", "url", "host", "body", "common", "html")
     kind = dict(rows.dtypes)
     out = joined.mapInArrow(_extract, f"id {kind['id']}, url {kind['url']}, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
