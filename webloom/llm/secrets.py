@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives. DataFrame functions only (the forest is spark.ml's).
 
-Candidates are words with a run of at least LEAST characters of an encoded value, with letters and digits in it, and armoured private keys. A
+Candidates are the runs of at least LEAST characters of an encoded value, with letters and digits in them, all that a word has, and armoured
+private keys. What a word has before a run, back to a delimiter or another value, belongs to that run only: the name it is given to. A
 candidate is described by its length, its character classes and the transitions between them, the letter pairs that words have, how much
 of it dictionary words cover, marks of paths and of known formats, and its neighbouring words. The forest is trained on labelled findings,
 which are made by rule: values of the formats that services issue, in the places where they are found, and what looks like them but is not (UUIDs,
@@ -36,8 +37,12 @@ _UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 FEATURES = ["n", "digits", "uppers", "lowers", "others", "hex", "changes", "pairs", "covered", "repeats", "slashes", "dots", "extension", "url", "uuid", "format", "assigned", "quoted", "near", "digest", "placeholder"]
 
 
+#: A run of an encoded value, with its padding; an = that more follows is not padding.
+_RUN = r"""[A-Za-z0-9+/_.-]{14,}(?:={1,2}(?![A-Za-z0-9+/_.="'-]))?"""
+
+
 def candidates(df: DataFrame, text_col: str, *keep: Column) -> DataFrame:
-    """keep, place (of the word), word, before (two words), after, value: a row per candidate."""
+    """keep, place (of the word), run (its number in the word), word (the run's part of it), before (two words), after, value: a row per candidate."""
     words = df.select(*keep, words_of(F.col(text_col)).alias("w"))
     run = f"[A-Za-z0-9+/_.-]{{{LEAST}}}|-----BEGIN"
     hit = lambda x: (F.length(x["word"]) >= 10) & x["word"].rlike("[0-9]|-----BEGIN") & x["word"].rlike(run)
@@ -46,10 +51,16 @@ def candidates(df: DataFrame, text_col: str, *keep: Column) -> DataFrame:
     whole = F.transform("hits", lambda x: F.struct(x["place"].alias("place"), x["word"].alias("word"), beside(x["place"] - 2, x["place"] - 1).alias("before"), beside(x["place"] + 1, x["place"] + 2).alias("after")))
     kept = [c for c in words.columns if c != "w"]
     found = words.withColumn("hits", hits).where(F.size("hits") > 0).select(*kept, F.explode(whole).alias("f")).select(*kept, "f.*")
-    inner = F.regexp_replace("word", r"""^.*?[=:]["']?(?=[A-Za-z0-9+/_.-]{14})""", "")
-    value = F.regexp_extract(inner, r"[A-Za-z0-9+/_.-]{14,}={0,2}", 0)
+    runs = found.withColumn("runs", F.regexp_extract_all("word", F.lit(_RUN), F.lit(0))).withColumn("between", F.split("word", _RUN, -1))
+    # What leads to a run: the run before it too, for that may be a long name, and of both what follows the last delimiter.
+    part = lambda x, i: F.struct(
+        i.alias("run"), x.alias("value"), F.concat(F.regexp_extract(F.concat(F.coalesce(F.get("runs", i - 1), F.lit("")), F.get("between", i)), r"[^&,;?{}|]*$", 0), x, F.regexp_extract(F.get("between", i + 1), r"""^["']?""", 0)).alias("part")
+    )
+    armour = F.array(F.struct(F.lit(0).alias("run"), F.lit("").alias("value"), F.col("word").alias("part")))
+    found = runs.withColumn("r", F.explode(F.when(F.col("word") == "-----BEGIN", armour).otherwise(F.transform("runs", part))))
+    found = found.select(*kept, "place", "r.run", F.col("r.part").alias("word"), "before", "after", F.col("r.value").alias("value"))
     armoured = (F.col("word") == "-----BEGIN") & F.col("after").rlike(r"PRIVATE|RSA|EC|OPENSSH|DSA")
-    found = found.withColumn("armoured", armoured).withColumn("value", F.when(armoured, F.concat_ws(" ", "word", "after")).otherwise(value))
+    found = found.withColumn("armoured", armoured).withColumn("value", F.when(armoured, F.concat_ws(" ", "word", "after")).otherwise(F.col("value")))
     return found.where(F.col("armoured") | ((F.length("value") >= LEAST) & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")))
 
 
@@ -136,9 +147,9 @@ def train(spark: SparkSession, rows: int = LABELLED) -> RandomForestClassificati
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """A row per finding: id_col, place (the word's, from 0), n_chars, score, value_sha256. least: the forest's share of votes."""
+    """A row per finding: id_col, place (the word's, from 0), run (of those in the word, from 0), n_chars, score, value_sha256. least: the forest's share of votes."""
     model = train(df.sparkSession)
     found = written(features(candidates(df, text_col, F.col(id_col).alias("__id"))), "findings")
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)).withColumn("score", F.round(vector_to_array("probability")[1], 6))
     scored = scored.where((F.col("score") >= least) | F.col("armoured"))
-    return scored.select(F.col("__id").alias(id_col), F.col("place").cast("long").alias("place"), F.length("value").cast("long").alias("n_chars"), "score", F.sha2("value", 256).alias("value_sha256"))
+    return scored.select(F.col("__id").alias(id_col), F.col("place").cast("long").alias("place"), F.col("run").cast("long").alias("run"), F.length("value").cast("long").alias("n_chars"), "score", F.sha2("value", 256).alias("value_sha256"))
