@@ -65,7 +65,7 @@ class Words:
         left = self.first[1:][self.doc] - np.arange(n)  # words from here to the text's end
         for i in range(k):
             part = np.zeros(n, np.uint64)
-            part[: n - i] = self.hash[i:] * _FACTORS[i]
+            part[: max(n - i, 0)] = self.hash[i:] * _FACTORS[i]
             out += np.where(left > i, part, _U(0)) if i else part
         short = np.diff(self.first) < k
         begins = np.zeros(n, bool)
