@@ -45,6 +45,14 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     return functools.reduce(operator.and_, [left[n].eqNullSafe(right[n]) for n in names])
 
 
+def whole_id(df: DataFrame, id_col: str) -> Column:
+    """The id column as long; ids that are no whole numbers are refused, for a cast would lose them."""
+    kind = df.schema[id_col].dataType.typeName()
+    if kind not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"{id_col} must hold whole numbers, not {kind}")
+    return F.col(id_col).cast("long")
+
+
 def pow2(n: float, least: int = 1) -> int:
     """The smallest power of two that is at least n and least."""
     return max(least, 1 << max(0, int(n - 1e-9)).bit_length()) if n > 1 else least

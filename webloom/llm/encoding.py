@@ -3,7 +3,7 @@
 Both vocabularies' pre-tokenizers cut a text by a pattern over letters, digits, white space and the rest, and merge within the
 pieces alone. Over ASCII and the Latin-1 letters these classes are the same in every Unicode table and normalisation changes
 nothing but case, so the pieces are cut here and the library encodes each distinct piece once. Of other texts, the parts between
-white space are what is encoded once, and texts with white space outside ASCII are encoded whole.
+white space are what is encoded once. Texts with white space outside ASCII or with the string of an added token are encoded whole.
 """
 
 from __future__ import annotations
@@ -40,7 +40,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # The library turns the strings of added tokens into their ids wherever they stand, so texts that have one are encoded whole.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)", re.I)
         self.size = self.tokenizer.get_vocab_size()
         self.drops_space = drops_space
         self.plain = re.compile(f"[{_LETTERS}]+" if drops_space else f" [{_LETTERS}]+")
@@ -69,7 +71,10 @@ class Encoder:
     def _group(self, texts: list[str]) -> list[bytes]:
         odd, parts = [], []
         for i, text in enumerate(texts):
-            if _LATIN.fullmatch(text):
+            if self.added.search(text):
+                odd.append(i)
+                parts.append([])
+            elif _LATIN.fullmatch(text):
                 parts.append(_DROPS.findall(text.lower()) if self.drops_space else _KEEPS.findall(text))
             elif _ODD.search(text):
                 odd.append(i)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_batches, pow2, small_side, written
+from webloom.llm.common import arrow_batches, pow2, small_side, whole_id, written
 from webloom.llm.encoding import encoder
 
 
@@ -91,7 +91,7 @@ def pack(
     spark = df.sparkSession
     arrow_batches(spark)
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    cut = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_windows(vocabulary, drops_space, end_id, capacity, with_ids), schema)
+    cut = df.select(whole_id(df, id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_windows(vocabulary, drops_space, end_id, capacity, with_ids), schema)
     windows = written(cut.withColumn("uid", F.monotonically_increasing_id()), "windows")
     counts = {r["length"]: r["n"] for r in windows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     salts = pow2(sum(counts.values()) / 100_000, 64)

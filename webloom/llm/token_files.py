@@ -16,6 +16,7 @@ import io
 import struct
 import uuid
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from webloom.llm.common import arrow_batches, shared_dir, small_side, written
+from webloom.llm.common import arrow_batches, shared_dir, small_side, whole_id, written
 from webloom.llm.encoding import encoder
 
 _HEAD = struct.Struct("<4sIIIQQQ")
 #: Ids in a block, and in a file at most (but for a longer document).
 BLOCK, FILE_IDS = 4096, 1 << 21
+#: Ids that a reader unpacks at a time.
+READ_IDS = 1 << 20
 
 
 def pack_bits(ids: np.ndarray, bits: int) -> bytes:
@@ -62,24 +65,30 @@ def file_bytes(doc_ids: list[int | None], ids: list[np.ndarray], bits: int, bloc
 
 
 class TokenFile:
-    """Reads a token file; document(i) and slice(a, b) touch only the blocks they need."""
+    """Reads a token file, given as bytes or as an open file; document(i) and slice(a, b) read only the blocks they need."""
 
-    def __init__(self, data: bytes):
-        magic, _, self.bits, self.block, docs, self.ids, blocks = _HEAD.unpack_from(data)
+    def __init__(self, source: bytes | BinaryIO):
+        self.source = io.BytesIO(source) if isinstance(source, bytes) else source
+        magic, _, self.bits, self.block, docs, self.ids, blocks = _HEAD.unpack(self._at(0, _HEAD.size))
         if magic != b"WLTF":
             raise ValueError("not a token file")
-        at = _HEAD.size
-        doc_ids = np.frombuffer(data, "<i8", docs, at)
-        none = np.frombuffer(data, np.uint8, docs, at + 8 * docs)
-        self.doc_ids = [None if n else int(x) for x, n in zip(doc_ids, none, strict=True)]
-        self.starts = np.frombuffer(data, "<u8", docs + 1, at + 9 * docs).astype(np.int64)
-        self.offsets = np.frombuffer(data, "<u8", blocks + 1, at + 17 * docs + 8).astype(np.int64)
-        self.payload = memoryview(data)[at + 17 * docs + 8 + 8 * (blocks + 1) :]
+        index = self._at(_HEAD.size, 17 * docs + 8 * blocks + 16)
+        none = np.frombuffer(index, np.uint8, docs, 8 * docs)
+        self.doc_ids = [None if n else int(x) for x, n in zip(np.frombuffer(index, "<i8", docs), none, strict=True)]
+        self.starts = np.frombuffer(index, "<u8", docs + 1, 9 * docs).astype(np.int64)
+        self.offsets = np.frombuffer(index, "<u8", blocks + 1, 17 * docs + 8).astype(np.int64) + _HEAD.size + len(index)
+
+    def _at(self, start: int, n: int) -> bytes:
+        self.source.seek(start)
+        return self.source.read(n)
 
     def slice(self, a: int, b: int) -> np.ndarray:
         first, last = a // self.block, -(-b // self.block)
-        parts = [unpack_bits(self.payload[self.offsets[k] : self.offsets[k + 1]], self.bits, min(self.block, self.ids - k * self.block)) for k in range(first, last)]
-        whole = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        if first >= last:
+            return np.zeros(0, np.uint32)
+        edges = self.offsets[first : last + 1]
+        data = memoryview(self._at(int(edges[0]), int(edges[-1] - edges[0])))
+        whole = np.concatenate([unpack_bits(data[edges[k - first] - edges[0] : edges[k + 1 - first] - edges[0]], self.bits, min(self.block, self.ids - k * self.block)) for k in range(first, last)])
         return whole[a - first * self.block : b - first * self.block]
 
     def document(self, i: int) -> np.ndarray:
@@ -119,36 +128,35 @@ def _write(path: str, vocabulary: str, drops_space: bool, end_id: int):
 def write_token_files(df: DataFrame, vocabulary: str, path: str, id_col: str = "doc_id", text_col: str = "text", drops_space: bool = False, end_id: int = 0) -> DataFrame:
     """Writes the files under path and returns their manifest: file, docs, ids (a written table)."""
     arrow_batches(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = df.select(whole_id(df, id_col).alias("id"), F.col(text_col).alias("text"))
     ordered = rows.repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"), "text")
     return written(ordered.mapInArrow(_write(path, vocabulary, drops_space, end_id), "file string, docs long, ids long"), "manifest")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            f = TokenFile(data.as_py())
-            whole = f.slice(0, f.ids).astype("<u4")
-            for a in range(0, len(f.doc_ids), 1024):
-                span = range(a, min(a + 1024, len(f.doc_ids)))
-                each = [whole[f.starts[i] : f.starts[i + 1]].tobytes() for i in span]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([name] * len(each), pa.string()),
-                        pa.array([f.doc_ids[i] for i in span], pa.int64()),
-                        pa.array([int(f.starts[i]) for i in span], pa.int64()),
-                        pa.array(each, pa.binary()),
-                    ],
-                    names=["file", "id", "at", "ids"],
-                )
+def _read(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pa.fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                with fs.open_input_file(f"{root}/{name}") as source:
+                    f = TokenFile(source)
+                    a, docs = 0, len(f.doc_ids)
+                    while a < docs:  # about READ_IDS ids at a time, and one document at least
+                        b = max(a + 1, int(np.searchsorted(f.starts, f.starts[a] + READ_IDS, side="right")) - 1)
+                        ids = f.slice(int(f.starts[a]), int(f.starts[b])).astype("<u4")
+                        cuts = f.starts[a : b + 1] - f.starts[a]
+                        each = [ids[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+                        columns = [pa.array([name] * (b - a), pa.string()), pa.array(f.doc_ids[a:b], pa.int64()), pa.array(f.starts[a:b]), pa.array(each, pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["file", "id", "at", "ids"])
+                        a = b
+
+    return run
 
 
 def read_token_files(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
-    """file, id, at (the document's first id in its file) and ids (binary, unsigned 32-bit) of every document."""
-    spark.conf.set("spark.sql.sources.binaryFile.maxLength", str(1 << 30))
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wltf").load(path)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").join(small_side(manifest.select("file")), "file", "left_semi")
-    return named.mapInArrow(_read, "file string, id long, at long, ids binary")
+    """file, id, at (the document's first id in its file) and ids (binary, unsigned 32-bit) of every document of the manifest's files."""
+    files = manifest.select("file").repartition(max(1, min(manifest.count(), 100_000)))
+    return files.mapInArrow(_read(path), "file string, id long, at long, ids binary")
 
 
 def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", drops_space: bool = False, end_id: int = 0) -> DataFrame:
@@ -158,8 +166,13 @@ def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
     manifest = write_token_files(df, vocabulary, path, id_col, text_col, drops_space, end_id)
     if manifest.isEmpty():
         return spark.createDataFrame([], f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
-    before = Window.partitionBy().orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # over files, not documents
-    firsts = small_side(manifest.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("first")))
+    # The ids before a file: those of the parts before its own (one row for each task that wrote), and of its part's files before it.
+    part = manifest.withColumn("part", F.substring("file", 1, 11))
+    earlier = Window.partitionBy().orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = part.groupBy("part").agg(F.sum("ids").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("of_parts"))
+    own = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = part.withColumn("own", F.coalesce(F.sum("ids").over(own), F.lit(0))).join(parts, "part").select("file", (F.col("of_parts") + F.col("own")).alias("first"))
+    firsts = small_side(written(firsts, "firsts"))
     return read_token_files(spark, path, manifest).join(firsts, "file").select(
         F.col("id").alias(id_col), (F.col("first") + F.col("at")).alias("start"), F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
