@@ -1,14 +1,18 @@
 """Main text of pages by wrapper induction.
 
-A page's tree is cut down to its shape: neighbours of one tag and class are one repeated node. Pages of one host are aligned by simple
-tree matching (the largest set of node pairs that keeps parents and order), and merged into a wrapper: each node counts the pages that
-have it. Hosts of any size are merged in parts of FAN shapes and the wrappers of parts again, so no task holds a host. The pages that have a
-text in a node are counted exactly, by host, path of the node and text. A text that most of the host's pages have in the same node is constant and belongs to the template; a text that varies is in a slot.
-Slots are content, but for those whose role is another's: menus, headers, footers, asides, notices, adverts, forms, comments, by
-their elements' names, roles and classes, and blocks that are mostly links.
-
-Null and empty pages give an empty text, as do pages without content; a host that is null or cannot be read is one host. Repeated rows are pages
-of their own. Texts are never cut. An empty table gives an empty result.
+A page is cut down to a tree of its block elements, in order and with repeats, whose leaves are its blocks of text; what other roles hold (menus,
+headers, footers, asides, notices, adverts, forms, scripts, comments) is taken out by elements' names, roles and classes. Pages of one host are aligned
+by simple tree matching: the largest set of node pairs that keeps parents and order, where a leaf with an equal text counts as one pair more. Aligned
+trees are merged into a wrapper; a leaf of it holds the text that may be its majority and how many pages speak for it (a majority vote, which
+merges). Hosts of any size are merged in parts of FAN pages and the wrappers of parts again, so no task holds a host.
+
+A text that is constant on a host is the majority of its leaf in some part, so all other leaves are pruned from a part's wrapper. Each page is
+then aligned with its host's wrapper, and the pages whose text at a leaf equals the wrapper's are counted exactly: a leaf that more than SHARE of
+the host's different pages agree on is template, and all else is a slot, which is content. An equal text elsewhere on a page stays.
+
+Null and empty pages give an empty text, as do pages without content; where all of a page is template, its text is kept. A host with one
+different page has no template. A host that is null or cannot be read is one host. Repeated rows are pages of their own and count once for the template.
+Texts are never cut, nesting may be of any depth. Other columns, whatever their names, are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,16 +31,18 @@ from webloom.functions.html import Node, parse
 from webloom.llm.common import arrow_batches, runs, written
 
 FAN = 64
-#: Pages a host needs for a template, and the share of them that a constant text has; inside an article the share is ARTICLE_SHARE.
-LEAST_PAGES, SHARE, ARTICLE_SHARE = 2, 0.5, 0.8
+#: A constant text is on more than this share of a host's different pages.
+SHARE = 0.5
 #: Bytes of wrappers that are broadcast.
 BROADCAST_BYTES = 8 << 20
 
 _DROP_TAGS = frozenset("script style noscript template nav footer aside form button select textarea input iframe svg canvas object embed dialog menu head title audio video map".split())
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-_DROP_WORDS = frozenset(
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidenav footer masthead topbar ad ads advert adverts advertisement adsense sponsor sponsored promo promotion cookie cookies consent gdpr notice banner popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus respond replies widget toolbar pagination pager skip".split()
+#: A class or id names a role if all its words are of these two sets and one is of the first.
+_ROLE_WORDS = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav footer header masthead topbar ad ads advert adverts advertisement adsense sponsor sponsored promo cookie cookies consent gdpr notice popup modal newsletter subscribe login comment comments disqus respond replies pagination".split()
 )
+_PLACE_WORDS = frozenset("site page main top bottom left right primary secondary global mobile desktop sticky fixed bar box block banner container wrapper wrap area section inner outer list items item links widget unit slot form thread overlay message policy js id".split())
 _BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main ol p pre section summary table tbody tfoot thead tr ul".split()
 )
@@ -44,214 +51,266 @@ _WORDS = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+def _names_role(name: str) -> bool:
+    words = {w.lower() for w in _WORDS.findall(_CAMEL.sub(" ", name))}
+    return not words.isdisjoint(_ROLE_WORDS) and words <= _ROLE_WORDS | _PLACE_WORDS
+
+
 def _dropped(node: Node, in_article: bool) -> bool:
     if node.tag in _DROP_TAGS or "hidden" in node.attrs or (node.get("role") or "").lower() in _DROP_ROLES or node.get("aria-hidden") == "true":
         return True
     if node.tag == "header":
         return not in_article
-    if node.tag in ("article", "main", "body", "html"):
-        names = _CAMEL.sub(" ", f"{node.get('class', '')} {node.get('id', '')}").lower()
-        return node.tag == "article" and bool({"comment", "comments", "reply"} & set(_WORDS.findall(names)))
-    names = f"{node.get('class', '')} {node.get('id', '')}"
-    return len(names) > 1 and not _DROP_WORDS.isdisjoint(_WORDS.findall(_CAMEL.sub(" ", names).lower()))
-
-
-class Block:
-    __slots__ = ("path", "text", "links", "in_article")
-
-    def __init__(self, path: tuple[str, ...], in_article: bool):
-        self.path, self.in_article, self.text, self.links = path, in_article, [], 0
-
-
-def blocks_of(page: Node) -> list[Block]:
-    """The page's blocks of text in order, without what has another role; path: the shapes of their elements, from the root."""
-    out: list[Block] = []
-    current: Block | None = None
-    # (node or text, path, in an article, in a link); None ends a block
-    stack: list = [(page, (), False, False)]
+    if node.tag in ("main", "body", "html"):
+        return False
+    return any(_names_role(x) for x in (*node.classes, node.get("id") or ""))
+
+
+def blocks_of(page: Node) -> tuple[list[tuple[int, str]], list[tuple[int, str]]]:
+    """The page's block elements (parent, label; the parent comes first, -1 for none) and its blocks in order (element, text)."""
+    elements: list[tuple[int, str]] = []
+    raw: list[tuple[int, list[str]]] = []
+    fresh = True
+    # (node, text or None for a block's end, element, in an article)
+    stack: list = [(page, -1, False)]
     while stack:
-        x, path, in_article, in_link = stack.pop()
+        x, at, in_article = stack.pop()
         if x is None:
-            current = None
+            fresh = True
             continue
         if isinstance(x, str):
-            if current is None or current.path != path:
-                current = Block(path, in_article)
-                out.append(current)
-            current.text.append(x)
-            if in_link:
-                current.links += len(x.strip())
+            if fresh or raw[-1][0] != at:
+                raw.append((at, []))
+                fresh = False
+            raw[-1][1].append(x)
             continue
         if _dropped(x, in_article):
             continue
         in_article = in_article or x.tag in ("article", "main") or x.get("role") == "main" or x.get("itemprop") == "articleBody"
         if x.tag in _BLOCKS:
-            path = (*path, f"{x.tag}.{'.'.join(sorted(x.classes))}")
-            current = None
-            stack.append((None, path, in_article, in_link))
+            elements.append((at, ".".join([x.tag, *sorted(x.classes)])))
+            at, fresh = len(elements) - 1, True
+            stack.append((None, at, in_article))
         elif x.tag in _SPACED:
-            stack.append((" ", path, in_article, in_link))
-        for c in reversed(x.children):
-            stack.append((c, path, in_article, in_link or x.tag == "a"))
+            stack.append((" ", at, in_article))
         if x.tag in ("td", "th"):
-            stack.append((" ", path, in_article, in_link))
-    kept = []
-    for b in out:
-        text = re.sub(r"\s+", " ", "".join(b.text)).strip()
-        if text:
-            b.text = text
-            kept.append(b)
-    if any(b.in_article for b in kept):
-        return [b for b in kept if b.in_article]
-    return [b for b in kept if 2 * b.links <= len(b.text)]
+            stack.append((" ", at, in_article))
+        stack.extend((c, at, in_article) for c in reversed(x.children))
+    blocks = ((at, re.sub(r"\s+", " ", "".join(text)).strip()) for at, text in raw)
+    return elements, [(at, text) for at, text in blocks if text]
 
 
-def _key(block: Block) -> int:
-    """64 bits of a block's path and text."""
-    return int.from_bytes(hashlib.blake2b("\x1f".join((*block.path, block.text)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+class Shape:
+    """A node of a tree or wrapper: label, the pages that have it, its children, and for a leaf its text (a hash), the votes for it and its place."""
 
+    __slots__ = ("label", "text", "pages", "votes", "children", "place")
 
-class Shape:
-    """A wrapper's node: label, the pages that have it, and its children."""
-
-    __slots__ = ("label", "pages", "children")
-
-    def __init__(self, label: str, pages: int = 1, children: list[Shape] | None = None):
-        self.label, self.pages, self.children = label, pages, children or []
-
-    def plain(self) -> list:
-        return [self.label, self.pages, [c.plain() for c in self.children]]
-
-    @classmethod
-    def of(cls, plain: list, times: int = 1) -> Shape:
-        return cls(plain[0], plain[1] * times, [cls.of(c, times) for c in plain[2]])
-
-
-def shape_of(blocks: list[Block]) -> Shape:
-    root = Shape("", 1)
-    for b in blocks:
-        at = root
-        for label in b.path:
-            if not at.children or at.children[-1].label != label:
-                found = next((c for c in at.children if c.label == label), None)
-                if found is None:
-                    found = Shape(label)
-                    at.children.append(found)
-            else:
-                found = at.children[-1]
-            at = found
+    def __init__(self, label: str, text: int | None = None, pages: int = 1, votes: int = 1, children: list[Shape] | None = None, place: int = -1):
+        self.label, self.text, self.pages, self.votes, self.children, self.place = label, text, pages, votes, children or [], place
+
+
+def flat(root: Shape) -> list:
+    """A tree as a list of nodes in order, without nesting: depth, label, text, pages, votes."""
+    out, stack = [], [(root, 0)]
+    while stack:
+        x, depth = stack.pop()
+        out.append([depth, x.label, x.text, x.pages, x.votes])
+        stack.extend((c, depth + 1) for c in reversed(x.children))
+    return out
+
+
+def tree(nodes: list) -> Shape:
+    """The tree of a flat list; leaves are numbered in order."""
+    path: list[Shape] = []
+    place = 0
+    for depth, label, text, pages, votes in nodes:
+        node = Shape(label, text, pages, votes, place=place if text is not None else -1)
+        place += text is not None
+        del path[depth:]
+        if path:
+            path[-1].children.append(node)
+        path.append(node)
+    return path[0]
+
+
+def _key(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
+def shape_of(elements: list[tuple[int, str]], blocks: list[tuple[int, str]]) -> Shape:
+    """The tree of a page's blocks: the elements that lead to them, in order, and a leaf for each block."""
+    root = Shape("")
+    made: dict[int, Shape] = {-1: root}
+    for at, text in blocks:
+        missing = []
+        while at not in made:
+            missing.append(at)
+            at = elements[at][0]
+        for k in reversed(missing):
+            made[k] = Shape(elements[k][1])
+            made[at].children.append(made[k])
+            at = k
+        made[at].children.append(Shape("#", _key(text)))
     return root
 
 
-def matched(a: Shape, b: Shape, sizes: dict | None = None) -> int:
-    """The size of the largest simple tree matching: pairs of nodes of one label, parents with parents, in order."""
-    sizes = {} if sizes is None else sizes
+def matched(a: Shape, b: Shape, known: dict | None = None) -> int:
+    """The size of the largest simple tree matching: pairs of nodes of one label, parents with parents, in order; an equal text is a pair, too."""
+    known = {} if known is None else known
     if a.label != b.label:
         return 0
-    if (got := sizes.get((id(a), id(b)))) is None:
-        row = [0] * (len(b.children) + 1)
-        for x in a.children:
-            new = [0]
-            for j, y in enumerate(b.children):
-                new.append(max(row[j + 1], new[j], row[j] + matched(x, y, sizes)))
-            row = new
-        got = sizes[id(a), id(b)] = row[-1] + 1
+    if a.text is not None or b.text is not None:
+        return 1 + (a.text == b.text)
+    if (got := known.get((id(a), id(b)))) is None:
+        got = known[id(a), id(b)] = _best(a.children, b.children, known)[-1][-1] + 1
     return got
 
 
-def merge(a: Shape, b: Shape, sizes: dict | None = None) -> Shape:
-    """One wrapper of both: matched nodes are added up, others are put in at their place."""
-    sizes = {} if sizes is None else sizes
-    m, n = len(a.children), len(b.children)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + matched(a.children[i - 1], b.children[j - 1], sizes))
-    children, i, j = [], m, n
+def _best(xs: list[Shape], ys: list[Shape], known: dict) -> list[list[int]]:
+    best = [[0] * (len(ys) + 1)]
+    for x in xs:
+        before, row, last = best[-1], [0], 0
+        for j, y in enumerate(ys):
+            up = before[j + 1]
+            if up > last:
+                last = up
+            if x.label == y.label:
+                both = before[j] + (1 + (x.text == y.text) if x.text is not None else matched(x, y, known))
+                if both > last:
+                    last = both
+            row.append(last)
+        best.append(row)
+    return best
+
+
+def _pairs(xs: list[Shape], ys: list[Shape], known: dict) -> list[tuple[Shape | None, Shape | None]]:
+    """The children of two matched nodes in one order: pairs, and those that only one side has."""
+    a = 0
+    while a < len(xs) and a < len(ys) and xs[a].text is not None and xs[a].text == ys[a].text:  # equal leaves at the start are pairs of a largest matching
+        a += 1
+    best = _best(xs[a:], ys[a:], known)
+    out: list[tuple[Shape | None, Shape | None]] = []
+    i, j = len(xs) - a, len(ys) - a
     while i or j:
-        if i and j and best[i][j] > max(best[i - 1][j], best[i][j - 1]):
-            children.append(merge(a.children[i - 1], b.children[j - 1], sizes))
+        x, y = xs[a + i - 1] if i else None, ys[a + j - 1] if j else None
+        if x and y and x.label == y.label and best[i][j] == best[i - 1][j - 1] + matched(x, y, known):
+            out.append((x, y))
             i, j = i - 1, j - 1
-        elif i and (not j or best[i - 1][j] >= best[i][j - 1]):
-            children.append(a.children[i - 1])
+        elif x and (not y or best[i - 1][j] == best[i][j]):
+            out.append((x, None))
             i -= 1
         else:
-            children.append(b.children[j - 1])
+            out.append((None, y))
             j -= 1
-    return Shape(a.label, a.pages + b.pages, children[::-1])
+    return [*zip(xs[:a], ys[:a], strict=True), *reversed(out)]
 
 
-def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, shape and keys (of its texts, each once) of the pages of rows (host, html)."""
-    for batch in batches:
-        found = [blocks_of(parse(x)) for x in batch.column(1).to_pylist()]
-        shapes = [json.dumps(shape_of(b).plain(), separators=(",", ":")) for b in found]
-        keys = [list({_key(x) for x in b}) for b in found]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["host", "shape", "keys"])
+def _deep() -> None:
+    """Matching goes as deep as pages do; frames of Python functions are not on the C stack."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 1_000_000))
 
 
-def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of (host, part, how many pages have the shape, shape or wrapper), sorted: a wrapper for each host and part."""
-    for t in runs(batches, 2):
-        one = None
-        for n, body in zip(t["n"].to_pylist(), t["body"].to_pylist(), strict=True):
-            shape = Shape.of(json.loads(body), n)
-            one = shape if one is None else merge(one, shape)
-        yield pa.RecordBatch.from_arrays([pa.array([t["host"][0].as_py()]), pa.array([json.dumps(one.plain(), separators=(",", ":"))])], names=["host", "body"])
+def merge(a: Shape, b: Shape, known: dict | None = None) -> Shape:
+    """One wrapper of both: matched nodes are added up, leaves vote, others are put in at their place."""
+    known = {} if known is None else known
+    text, votes = a.text, a.votes
+    if a.text is not None and b.text is not None:
+        if a.text == b.text:
+            votes += b.votes
+        else:
+            text, votes = (a.text, a.votes - b.votes) if a.votes >= b.votes else (b.text, b.votes - a.votes)
+    children = [merge(x, y, known) if x and y else x or y for x, y in _pairs(a.children, b.children, known)]
+    return Shape(a.label, text, a.pages + b.pages, votes, children)
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """host (a hash), body, common: the wrapper of each host with at least two pages, from all its pages, and the texts (key, n: pages) that
-    more than the share of them have. pages: host, html."""
-    counts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= LEAST_PAGES)
-    counts = written(counts, "hosts")
-    hosts = F.broadcast(counts) if counts.count() < 100_000 else counts
-    shaped = written(pages.join(hosts, "host", "left_semi").select("host", "html").mapInArrow(_shapes, "host long, shape string, keys array<long>"), "shapes")
-    texts = shaped.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
-    texts = texts.join(hosts, "host").where(F.col("n") > min(SHARE, ARTICLE_SHARE) * F.col("pages"))
-    texts = texts.groupBy("host").agg(F.collect_list(F.struct("key", "n")).alias("common"))
-    level = written(shaped.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n")).select("host", "n", F.col("shape").alias("body")), "distinct")
-    parts = written(level.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("parts")), "parts")
-    most = parts.agg(F.max("parts")).first()[0] or 1
-    level = level.join(F.broadcast(parts) if counts.count() < 100_000 else parts, "host").select("host", F.pmod(F.xxhash64("body"), F.col("parts")).cast("int").alias("part"), "n", "body")
-    k = 0
-    while True:
-        dealt = level.repartition("host", "part").sortWithinPartitions("host", "part", "body").select("host", "part", "n", "body")
-        made = written(dealt.mapInArrow(_induce, "host long, body string"), f"wrappers{k}")
-        if most <= 1:
-            return made.join(texts, "host", "left").select("host", "body", "common")
-        most, k = -(-most // FAN), k + 1
-        level = made.select("host", F.pmod(F.xxhash64("body"), F.lit(most)).cast("int").alias("part"), F.lit(1).alias("n"), "body")
+def pruned(root: Shape) -> Shape:
+    """Without the leaves whose text is no majority of the pages, and what leads to none."""
+
+    def kept(x: Shape) -> bool:
+        if x.text is not None:
+            return x.votes > 0 and x.pages > SHARE * root.pages
+        x.children = [c for c in x.children if kept(c)]
+        return bool(x.children)
+
+    kept(root)
+    return root
+
+
+def aligned(page: Shape, wrapper: Shape) -> dict[int, int]:
+    """The page's leaves whose text equals that of the wrapper's leaf that they are matched with: place to place."""
+    out, stack, known = {}, [(page, wrapper)], {}
+    while stack:
+        a, b = stack.pop()
+        if a.text is not None:
+            if a.text == b.text:
+                out[a.place] = b.place
+        else:
+            stack.extend((x, y) for x, y in _pairs(a.children, b.children, known) if x and y)
+    return out
 
 
-class Template:
-    """Which texts of a path are constant on a host."""
+def _json(root: Shape) -> str:
+    return json.dumps(flat(root), separators=(",", ":"))
 
-    def __init__(self, wrapper: Shape, common: dict[int, int]):
-        self.pages, self.common = wrapper.pages, common
 
-    def constant(self, block: Block) -> bool:
-        return self.common.get(_key(block), 0) > (ARTICLE_SHARE if block.in_article else SHARE) * self.pages
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns before html, with the page's shape and texts."""
+    for batch in batches:
+        found = [blocks_of(parse(x)) for x in batch.column(batch.num_columns - 1).to_pylist()]
+        shapes = [_json(shape_of(e, b)) for e, b in found]
+        texts = [[t.encode("utf-8", "replace").decode() for _, t in b] for _, b in found]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(shapes, pa.string()), pa.array(texts, pa.list_(pa.string()))], names=[*batch.schema.names[:-1], "shape", "texts"])
+
+
+def _induce(prune: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of (host, part, shape or wrapper), sorted: a wrapper for each host and part."""
+        _deep()
+        for t in runs(batches, 2):
+            one = None
+            for body in t["body"].to_pylist():
+                shape = tree(json.loads(body))
+                one = shape if one is None else merge(one, shape)
+            yield pa.RecordBatch.from_arrays([pa.array([t["host"][0].as_py()]), pa.array([_json(pruned(one) if prune else one)])], names=["host", "body"])
+
+    return run
 
 
-def main_text(html: str | None, template: Template | None = None) -> str:
-    found = blocks_of(parse(html))
-    slots = [b for b in found if template is None or not template.constant(b)]
-    return "\n\n".join(b.text for b in (slots or found))
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host (a hash), pages, body: the wrapper of each host with at least two different pages, from all of them. pages: host, shape; written."""
+    level = written(pages.groupBy("host", "shape").agg(F.lit(1).alias("n")).select("host", F.col("shape").alias("body")), "different")
+    counts = written(level.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where("pages > 1"), "hosts")
+    most, number = counts.agg(F.max("pages"), F.count(F.lit(1))).first()
+    hosts = F.broadcast(counts) if number < 100_000 else counts
+    level = level.join(hosts, "host").select("host", F.pmod(F.xxhash64("body"), F.ceil(F.col("pages") / FAN)).cast("int").alias("part"), "body")
+    most, k = -(-(most or 0) // FAN), 0
+    while True:
+        dealt = level.repartition("host", "part").sortWithinPartitions("host", "part", "body").select("host", "part", "body")
+        made = written(dealt.mapInArrow(_induce(k == 0), "host long, body string"), f"wrappers{k}")
+        if most <= 1:
+            return made.join(hosts, "host").select("host", "pages", "body")
+        most, k = -(-most // FAN), k + 1
+        level = made.select("host", F.pmod(F.xxhash64("body"), F.lit(most)).cast("int").alias("part"), "body")
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    templates: dict[int, Template] = {}
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The columns before shape and body, with the wrapper's leaf that each of the page's texts agrees with, or -1."""
+    _deep()
+    held: tuple[str, Shape] | None = None
     for batch in batches:
-        host, body, common, html = (batch.column(batch.num_columns - i).to_pylist() for i in (4, 3, 2, 1))
         out = []
-        for h, b, texts, page in zip(host, body, common, html, strict=True):
-            if b is not None and h not in templates:
-                if len(templates) > 256:
-                    templates.clear()
-                templates[h] = Template(Shape.of(json.loads(b)), {x["key"]: x["n"] for x in texts or []})
-            out.append(main_text(page, templates[h] if b is not None else None))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-4], pa.array(out, pa.string())], names=[*batch.schema.names[:-4], "text"])
+        shapes, bodies = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
+        for shape, body in zip(shapes, bodies, strict=True):
+            nodes = json.loads(shape)
+            leaves = sum(x[2] is not None for x in nodes)
+            if body is None:
+                out.append([-1] * leaves)
+                continue
+            if held is None or held[0] != body:
+                held = body, tree(json.loads(body))
+            found = aligned(tree(nodes), held[1])
+            out.append([found.get(i, -1) for i in range(leaves)])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names[:-2], "leaves"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -259,10 +318,18 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     arrow_batches(pages.sparkSession, 128)
     host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract(url_col, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]*)", 1), F.lit(""))))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.coalesce(html_col, F.lit("")).alias("html"))
-    found = written(wrappers(rows.select("host", "html")), "templates")
-    size = found.agg(F.sum(F.length("body") + 16 * F.greatest(F.size("common"), F.lit(0)))).first()[0] or 0
-    known = F.broadcast(found) if size <= BROADCAST_BYTES else found
-    joined = rows.join(known, "host", "left").select("id", "url", "host", "body", "common", "html")
     kind = dict(rows.dtypes)
-    out = joined.mapInArrow(_extract, f"id {kind['id']}, url {kind['url']}, text string")
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    head = f"id {kind['id']}, url {kind['url']}, host long"
+    parsed = written(rows.mapInArrow(_parsed, f"{head}, shape string, texts array<string>"), "parsed")
+    found = written(wrappers(parsed.select("host", "shape")), "templates")
+    size = found.agg(F.sum(F.length("body"))).first()[0] or 0
+    side = lambda df: F.broadcast(df) if size <= BROADCAST_BYTES else df  # noqa: E731  as many bytes bound the templates' leaves
+    joined = parsed.withColumn("same", F.xxhash64("shape")).join(side(found.select("host", "body")), "host", "left").select("id", "url", "host", "same", "texts", "shape", "body")
+    marked = written(joined.mapInArrow(_align, f"{head}, same long, texts array<string>, leaves array<int>"), "aligned")
+    agreed = marked.select("host", "same", F.array_distinct(F.filter("leaves", lambda x: x >= 0)).alias("l")).where(F.size("l") > 0).dropDuplicates(["host", "same"])
+    agreed = agreed.select("host", F.explode("l").alias("leaf")).groupBy("host", "leaf").agg(F.count(F.lit(1)).alias("n"))
+    constant = agreed.join(side(found.select("host", "pages")), "host").where(F.col("n") > SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("leaf").alias("constant"))
+    out = marked.join(side(written(constant, "constant")), "host", "left")
+    slots = F.filter("texts", lambda t, i: ~F.coalesce(F.array_contains("constant", F.get("leaves", i)), F.lit(False)))
+    text = F.array_join(F.when(F.size(slots) > 0, slots).otherwise(F.col("texts")), "\n\n")
+    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
