@@ -85,14 +85,32 @@ class Node:
 
     def inner(self) -> str:
         """Markup of what is inside."""
-        return "".join(_html.escape(c, quote=False) if isinstance(c, str) else c.outer() for c in self.children)
+        return "".join(_markup(list(reversed(self.children))))
 
     def outer(self) -> str:
-        attrs = "".join(f' {k}="{_html.escape(v)}"' for k, v in self.attrs.items())
-        if self.tag in VOID:
-            return f"<{self.tag}{attrs}>"
-        inner = "".join(c for c in self.children if isinstance(c, str)) if self.tag in ("script", "style") else self.inner()
-        return f"<{self.tag}{attrs}>{inner}</{self.tag}>"
+        return "".join(_markup([self]))
+
+
+class _End(str):
+    """An end tag that is still to be written."""
+
+    __slots__ = ()
+
+
+def _markup(stack: list[Node | str]) -> Iterator[str]:
+    while stack:
+        x = stack.pop()
+        if isinstance(x, _End):
+            yield str(x)
+        elif isinstance(x, str):
+            yield _html.escape(x, quote=False)
+        else:
+            attrs = "".join(f' {k}="{_html.escape(v)}"' for k, v in x.attrs.items())
+            yield f"<{x.tag}{attrs}>"
+            if x.tag in VOID:
+                continue
+            stack.append(_End(f"</{x.tag}>"))
+            stack.extend(_End(c) if isinstance(c, str) and x.tag in ("script", "style") else c for c in reversed(x.children))
 
 
 def attributes(source: str) -> dict[str, str]:
@@ -171,6 +189,8 @@ def parse(source: str | None) -> Node:
                 continue
             if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 pop_to({"h1", "h2", "h3", "h4", "h5", "h6"}, _SCOPE)
+            elif tag in ("table", "caption", "tbody", "thead", "tfoot", "tr", "td", "th"):
+                pop_to({tag}, {"table", "template"} - {tag})
             else:
                 pop_to({tag}, _SCOPE - {tag} if tag != "p" else _SCOPE)
             continue
@@ -263,6 +283,10 @@ def _simple(node: Node, tests: list) -> bool:
     return True
 
 
+def any_match(node: Node, selector: str) -> bool:
+    return any(_matches(node, t) for t in compile_selector(selector))
+
+
 def _matches(node: Node, steps: list) -> bool:
     if not _simple(node, steps[-1]):
         return False

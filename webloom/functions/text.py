@@ -6,7 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Title words that are no names.
-TITLE_WORDS = "about gallery recipe the and home page post blog studio contact portfolio photography photo work works series for with from this that your our new old".split()
+TITLE_WORDS = [
+    "about", "gallery", "recipe", "the", "and", "home", "page", "post", "blog", "studio", "contact", "portfolio", "photography", "photo", "work", "works", "series",
+    "for", "with", "from", "this", "that", "your", "our", "new", "old",
+]
+# What slugs write signs and letters without a base letter as.
+SIGNS = {"$": "dollar", "%": "percent", "&": "and", "<": "less", ">": "greater", "|": "or", "ß": "ss", "Æ": "AE", "æ": "ae", "Œ": "OE", "œ": "oe", "Þ": "TH", "þ": "th", "€": "euro", "£": "pound", "©": "(c)", "™": "tm"}
+SINGLE = {"Ø": "O", "ø": "o", "Đ": "DJ", "đ": "dj", "Ł": "L", "ł": "l", "Ð": "D", "ð": "d", "ı": "i"}
 NO_DATE = "1970-01-01"
 
 
@@ -15,10 +21,27 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)[\s﻿]+", " "))
 
 
+def _base_letters() -> dict[str, str]:
+    """Latin letters with marks and their base letters, by their canonical decomposition."""
+    import unicodedata
+
+    letters = (chr(x) for x in (*range(0xC0, 0x180), *range(0x1E00, 0x1F00)))
+    return {x: base for x in letters if len(d := unicodedata.normalize("NFD", x)) > 1 and (base := d[0]).isascii()}
+
+
+def transliterate(c: Column) -> Column:
+    """Letters with marks as their base letters, signs that have names as these."""
+    one = _base_letters() | {k: v for k, v in SINGLE.items() if len(v) == 1}
+    out = F.translate(c, "".join(one), "".join(one.values()))
+    for sign, name in (SIGNS | {k: v for k, v in SINGLE.items() if len(v) > 1}).items():
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return F.when(c.rlike(r"[^A-Za-z0-9\s_./-]"), out).otherwise(c)
+
+
 def slug(c: Column, fallback: str = "page") -> Column:
-    """Without a final extension; letters and digits of ASCII, words joined by -; path separators vanish."""
-    base = F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), r"\.[A-Za-z0-9]+$", "")
-    kept = F.trim(F.regexp_replace(F.regexp_replace(base, "-", " "), r"[^A-Za-z0-9\s]", ""))
+    """Without a final extension; transliterated to letters and digits of ASCII, words joined by -; path separators vanish."""
+    base = F.trim(F.regexp_replace(F.replace(c, F.lit("\\"), F.lit("/")), r"\.[A-Za-z0-9]+$", ""))
+    kept = F.trim(F.regexp_replace(F.regexp_replace(transliterate(base), "-", " "), r"[^A-Za-z0-9\s]", ""))
     return F.coalesce(F.nullif(F.lower(F.regexp_replace(kept, r"\s+", "-")), F.lit("")), F.lit(fallback))
 
 
@@ -42,9 +65,14 @@ def description(given: Column, text: Column, title: Column) -> Column:
     return F.coalesce(some(given), F.nullif(F.trim(F.substring(squeeze(text), 1, 180)), F.lit("")), some(title), F.lit("Untitled"))
 
 
+#: Forms of dates beside ISO's; a weekday before them is cut off.
+DATES = ["MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMM yyyy HH:mm:ss z", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy", "d MMMM yyyy", "yyyy/M/d", "M/d/yyyy"]
+
+
 def front_date(date: Column) -> Column:
-    """The day, from ISO dates and times and from 'Month D, YYYY'; a fixed day where there is none."""
-    at = F.coalesce(F.try_to_timestamp(date), F.try_to_timestamp(date, F.lit("MMMM d, yyyy")), F.try_to_timestamp(date, F.lit("MMM d, yyyy")))
+    """The day in UTC, from ISO dates and times, mail dates, and dates with the month's name; a fixed day where there is none."""
+    plain = F.regexp_replace(F.trim(date), r"(?i)^(mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+", "")
+    at = F.coalesce(F.try_to_timestamp(plain), *[F.try_to_timestamp(plain, F.lit(x)) for x in DATES])
     return F.coalesce(F.date_format(at, "yyyy-MM-dd"), F.lit(NO_DATE))
 
 
@@ -69,7 +97,8 @@ def extension(content: Column, content_type: Column) -> Column:
     """Of an image, from its content type or else its first bytes."""
     ct, head = F.lower(F.coalesce(content_type, F.lit(""))), F.hex(F.substring(content, 1, 12))
     by_type = F.lit(None).cast("string")
-    for part, ext in (("svg", "svg"), ("avif", "avif"), ("webp", "webp"), ("gif", "gif"), ("png", "png"), ("jpg", "jpg"), ("jpeg", "jpg")):
+    for part, ext in (("svg", "svg"), ("avif", "avif"), ("webp", "webp"), ("gif", "gif"), ("png", "png"), ("jpeg", "jpg")):
         by_type = F.when(ct.contains(part), ext).otherwise(by_type)
-    sniffed = F.when(head.startswith("FFD8"), "jpg").when(head.startswith("89504E47"), "png").when(head.startswith("474946"), "gif").when(head.rlike("^52494646.{8}57454250"), "webp")
+    some = F.decode(F.substring(content, 1, 100), "ISO-8859-1")
+    sniffed = F.when(F.length(content) < 4, F.lit("bin")).when(head.startswith("FFD8"), "jpg").when(head.startswith("89504E47"), "png").when(head.startswith("474946"), "gif").when(head.rlike("^52494646.{8}57454250"), "webp").when(some.contains("<svg"), "svg")
     return F.coalesce(by_type, sniffed, F.lit("bin"))

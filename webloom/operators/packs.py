@@ -63,8 +63,7 @@ def name_images(downloads: DataFrame) -> DataFrame:
     first address; equal names of different bytes get the start of the hash."""
     hashed = downloads.withColumn("hash", F.sha2("content", 256)).withColumn("bytes", F.length("content").cast("long"))
     base = T.file_name(F.regexp_replace(U.path(F.col("remote_url")), "/+$", ""), "image")
-    own = F.regexp_extract(F.lower(base), r"\.([a-z0-9]{2,5})$", 1)
-    named = F.when(own != "", base).otherwise(F.concat(base, F.lit("."), T.extension(F.col("content"), F.col("content_type"))))
+    named = F.when(F.lower(base).rlike(U.IMAGE), base).otherwise(F.concat(base, F.lit("."), T.extension(F.col("content"), F.col("content_type"))))
     firsts = hashed.where("bytes > 0").groupBy("site", "hash").agg(F.min(F.struct("remote_url", named.alias("name"))).alias("f"))
     same = Window.partitionBy("site", F.lower("f.name")).orderBy("f.remote_url")
     stem, tail = F.regexp_extract("f.name", r"^(.*)(\.[^.]*)$", 1), F.regexp_extract("f.name", r"^(.*)(\.[^.]*)$", 2)
@@ -75,9 +74,11 @@ def name_images(downloads: DataFrame) -> DataFrame:
 
 def review_images(references: DataFrame, pages: DataFrame, site_paths: DataFrame) -> DataFrame:
     """site, page_url, remote_url, site_path, flags of every image of every page, unflagged ones too. pages (site, ord, url, seed_url,
-    title, is_blog, kind)."""
-    rows = references.join(pages.select("site", "ord", F.col("url").alias("page_url"), "seed_url", "title", "is_blog", "kind"), ["site", "ord"])
-    flags = P.review_flags(F.col("remote_url"), F.col("seed_url"), F.lit(""), F.col("title"), F.col("is_blog"), F.col("is_hero"), F.col("kind"))
+    title, is_blog, kind, and alts: a map of the images' alternative texts, if known)."""
+    alts = F.col("alts") if "alts" in pages.columns else F.lit(None).cast("map<string,string>")
+    rows = references.join(pages.select("site", "ord", F.col("url").alias("page_url"), "seed_url", "title", "is_blog", "kind", alts.alias("alts")), ["site", "ord"])
+    alt = F.coalesce(F.col("alts")[F.col("remote_url")], F.lit(""))
+    flags = P.review_flags(F.col("remote_url"), F.col("seed_url"), alt, F.col("title"), F.col("is_blog"), F.col("is_hero"), F.col("kind"))
     return rows.withColumn("flags", flags).join(site_paths, ["site", "remote_url"], "left").select("site", "page_url", "remote_url", "site_path", "flags")
 
 
@@ -185,6 +186,14 @@ def generate_markdown(pages: DataFrame, references: DataFrame, site_paths: DataF
     return rows.select("site", path.alias("path"), markdown_file(values, body).alias("content"))
 
 
+def read_for_validation(files: DataFrame) -> DataFrame:
+    """What pages.validate takes, from Markdown files (pack, file, content): front matter's fields and the image references, in the files' order."""
+    front = files.withColumn("front", parse_front_matter(split_front_matter(F.col("content"))["yaml"]))
+    refs = F.concat(F.filter(F.array("front.heroImage"), lambda x: x.isNotNull()), F.coalesce("front.gallery", F.array().cast("array<string>")), T.markdown_images(F.col("content")))
+    order = Window.partitionBy("pack").orderBy("file")
+    return front.select("pack", "file", F.row_number().over(order).alias("ord"), "front.title", "front.description", "front.slug", "front.date", refs.alias("refs"))
+
+
 # Reports
 
 
@@ -210,12 +219,12 @@ def report_markdown(r: dict[str, Column]) -> Column:
 # Import
 
 
-def import_pack(entries: DataFrame, existing: DataFrame, files: DataFrame, review: DataFrame, protected: list[str], overwrite_pages: bool = False, overwrite_entries: bool = False, include_flagged: bool = False) -> DataFrame:
+def import_pack(entries: DataFrame, existing: DataFrame, files: DataFrame, review: DataFrame, protected: list[str] | None = None, overwrite_pages: bool = False, overwrite_entries: bool = False, include_flagged: bool = False) -> DataFrame:
     """pack, collection, slug, action, front (the struct with the keys an import keeps), body, without flagged images.
 
-    entries (pack, collection, slug, content), existing (collection, slug) of the target, files (path) of its public folder,
-    review (pack, site_path, flags). protected pages are replaced only if asked; an entry that is there is kept if all images it
-    refers to are, else only its images are filled in.
+    entries (pack, collection, slug, content), existing (collection, slug, content) of the target, files (path) of its public folder,
+    review (pack, site_path, flags). Pages that are there are replaced only if asked, protected or not; any other entry that is there is kept if all
+    images it refers to are, else only its images are filled in.
     """
     skipped = review.where(P.skipped_on_import(F.col("flags"), include_flagged) & F.col("site_path").isNotNull())
     read = entries.withColumn("split", split_front_matter(F.col("content"))).withColumn("front", parse_front_matter("split.yaml")).drop("content")
@@ -227,19 +236,51 @@ def import_pack(entries: DataFrame, existing: DataFrame, files: DataFrame, revie
     # The flagged images that an entry names, in its body or its front matter.
     named = read.select(*keys, F.explode(F.array_distinct(F.concat(refs, T.markdown_images(F.col("split.body"))))).alias("site_path"))
     flagged = named.join(skipped.select("pack", "site_path").distinct(), ["pack", "site_path"], "left_semi").groupBy(*keys).agg(F.array_sort(F.collect_list("site_path")).alias("flagged"))
-    own = existing.select("collection", "slug").distinct().withColumn("exists", F.lit(True))
+    content = F.col("content") if "content" in existing.columns else F.lit(None).cast("string")
+    own = existing.select("collection", "slug", content.alias("old_content")).dropDuplicates(["collection", "slug"])
+    own = own.withColumn("exists", F.lit(True)).withColumn("old_split", split_front_matter(F.coalesce("old_content", F.lit(""))))
+    own = own.withColumn("old", parse_front_matter("old_split.yaml")).withColumn("old_body", F.col("old_split.body")).drop("old_content", "old_split")
     rows = read.join(own, ["collection", "slug"], "left").join(counted, keys, "left").join(flagged, keys, "left")
     there_, none = F.coalesce("exists", F.lit(False)), F.array().cast("array<string>")
-    safe = ~F.lower("slug").isin([p.lower() for p in protected]) & (F.col("collection") == "pages")
-    action = F.when(safe, "added").otherwise(P.import_action(F.col("collection"), there_, F.coalesce("refs", F.lit(0)), F.coalesce("missing", F.lit(0)), overwrite_pages, overwrite_entries))
+    action = P.import_action(F.col("collection"), there_, F.coalesce("refs", F.lit(0)), F.coalesce("missing", F.lit(0)), overwrite_pages, overwrite_entries)
     bad = F.coalesce("flagged", none)
-    kept = {k: F.col(f"front.{k}") for k in IMPORTED} | {
-        "title": F.coalesce("front.title", "slug"),
-        "date": F.when(F.col("collection") != "pages", F.col("front.date")),
+    text = lambda c, other: F.coalesce(c, other)
+    title = text(F.col("front.title"), F.lit("Untitled"))
+    new = {k: F.col(f"front.{k}") for k in IMPORTED} | {
+        "title": title,
+        "description": text(F.col("front.description"), title),
+        "date": F.when(F.col("collection") != "pages", text(F.col("front.date"), F.lit(T.NO_DATE))),
         "heroImage": F.when(~F.array_contains(bad, F.coalesce("front.heroImage", F.lit(""))), F.col("front.heroImage")),
         "gallery": F.array_except("front.gallery", bad),
     }
-    return rows.select(*keys, action.alias("action"), F.struct(*[v.alias(k) for k, v in kept.items()]).alias("front"), without_images(F.col("split.body"), bad).alias("body"))
+    # An entry that is there keeps its front matter and its body; the pack's hero and gallery go before its own.
+    old_title = text(F.col("old.title"), F.lit("Untitled"))
+    merged = {k: F.col(f"old.{k}") for k in IMPORTED} | {
+        "title": old_title,
+        "description": text(F.col("old.description"), old_title),
+        "date": F.when(F.col("collection") != "pages", text(F.col("old.date"), F.lit(T.NO_DATE))),
+        "heroImage": F.coalesce("front.heroImage", "old.heroImage"),
+        "gallery": F.coalesce("front.gallery", "old.gallery"),
+    }
+    filled = F.col("action") == "filledImages"
+    front = F.struct(*[F.when(filled, merged[k]).otherwise(new[k]).alias(k) for k in IMPORTED])
+    body = F.when(filled, F.concat(F.btrim("old_body", F.lit(" \t\n\r")), F.lit("\n"))).otherwise(without_images(F.col("split.body"), bad))
+    return rows.withColumn("action", action).select(*keys, "action", front.alias("front"), body.alias("body"))
+
+
+def imported_file(front: Column, body: Column) -> Column:
+    """The file that an import writes: the front matter's known keys, then the body without a block of its own."""
+    return markdown_file({k: front[k] for k in IMPORTED}, body)
+
+
+def images_to_copy(plan: DataFrame, entries: DataFrame, review: DataFrame, pack_files: DataFrame, include_flagged: bool = False) -> DataFrame:
+    """(pack, path) of the images that an import copies: those that the added and filled entries name, that are in the pack's files (pack, path) and not skipped."""
+    done = plan.where(F.col("action").isin("added", "filledImages")).select("pack", "collection", "slug")
+    read = entries.join(done, ["pack", "collection", "slug"], "left_semi").withColumn("front", parse_front_matter(split_front_matter(F.col("content"))["yaml"]))
+    named = read.select("pack", F.explode(F.concat(F.array("front.heroImage"), F.coalesce("front.gallery", F.array().cast("array<string>")))).alias("site_path")).where("site_path is not null").distinct()
+    skipped = review.where(P.skipped_on_import(F.col("flags"), include_flagged) & F.col("site_path").isNotNull()).select("pack", "site_path").distinct()
+    wanted = named.join(skipped, ["pack", "site_path"], "left_anti").select("pack", F.regexp_replace("site_path", "^/+", "").alias("path"))
+    return wanted.distinct().join(pack_files.select("pack", "path").distinct(), ["pack", "path"], "left_semi")
 
 
 def import_summary(plan: DataFrame) -> DataFrame:

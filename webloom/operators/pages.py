@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import text as T
 from webloom.functions import urls as U
-from webloom.functions.html import Node, parse
+from webloom.functions.html import Node, any_match, parse
 from webloom.session import written
 
 # Chrome to remove, candidates for the main part, containers of menus, hosts of social networks, marks of blog posts.
@@ -57,9 +57,15 @@ def _squeezed(text: str) -> str:
 
 EXTRACTED = (
     "title string, description string, headings array<string>, text_content string, html_content string, language string, canonical string, blog_marks boolean, published string, author string,"
-    " images array<struct<src:string,alt:string,width:double,height:double>>, links array<struct<href:string,text:string>>, nav array<struct<title:string,href:string>>,"
-    " videos array<struct<src:string,title:string>>, galleries array<array<string>>, markdown string"
+    " images array<struct<src:string,alt:string,width:double,height:double,background:boolean>>, links array<struct<href:string,text:string>>, nav array<struct<title:string,href:string>>,"
+    " videos array<struct<src:string,title:string,frame:boolean>>, galleries array<array<string>>, markdown string,"
+    " og_image string, categories array<string>, tags array<string>, anchors array<string>, meta map<string,string>"
 )
+# Containers of galleries in the order in which they are looked for, file links, names of a page's own metadata.
+GALLERIES = ["[class*='gallery']", "[class*='Gallery']", "[data-testid*='gallery']", ".pro-gallery", ".wixui-gallery", ".sqs-gallery", ".w-slider", "ul.gallery"]
+FILES = r"(?i)\.(pdf|zip|docx?|xlsx?|pptx?|csv|txt|mp3|mp4|webm)(?:$|\?)"
+OPEN_GRAPH = ["title", "description", "image", "type", "url"]
+TWITTER = ["card", "title", "description", "image", "site"]
 
 
 def _meta(page: Node, *names: str) -> str | None:
@@ -96,12 +102,40 @@ def _main(page: Node, platform: str = "generic") -> Node:
             return node
     body = page.children[1]
     best, size = body, 80
+    lengths = _text_lengths(body)
     for node in body.walk():
-        if (n := len(_squeezed(node.text()))) > size:
-            best, size = node, n
+        if lengths[id(node)] > size:
+            best, size = node, lengths[id(node)]
     return best
 
 
+def _text_lengths(top: Node) -> dict[int, int]:
+    """The length of each element's squeezed text, by id, in one pass from the leaves up.
+
+    A text is summed up as (length, whether it starts with white space, whether it ends with some, whether it has more than that).
+    """
+    white = re.compile(r"[\s\ufeff]")
+    parts: dict[int, tuple[int, bool, bool]] = {}
+    for node in [*reversed([top, *top.walk()])]:
+        n, starts, ends = 0, False, False
+        for c in node.children:
+            if isinstance(c, str):
+                if not c:
+                    continue
+                text = _squeezed(c)
+                m, s, e = len(text), bool(white.match(c)), bool(white.match(c[-1]))
+            else:
+                m, s, e = parts[id(c)]
+            if not m:  # white space at most
+                if s:
+                    starts, ends = (True, True) if not n else (starts, True)
+                continue
+            starts, n = (starts or s, m) if not n else (starts, n + m + (ends or s))
+            ends = e
+        parts[id(node)] = n, starts, ends
+    return {k: v[0] for k, v in parts.items()}
+
+
 def _source(node: Node) -> str | None:
     for key in ("src", "data-src", "data-lazy-src", "data-original"):
         if node.get(key):
@@ -110,20 +144,19 @@ def _source(node: Node) -> str | None:
 
 
 def markdown(node: Node) -> str:
-    """ATX headings, - bullets, * emphasis, fenced code, quotes, rules, links and images."""
+    """ATX headings, - bullets, * emphasis, fenced code, quotes, rules, links, images, tables and task lists. Each element is rendered once, from
+    the leaves up, so that depth costs nothing."""
+    done: dict[int, str] = {}
 
     def inline(n: Node) -> str:
-        return "".join(piece(c) for c in n.children)
+        return "".join(done[id(c)] if not isinstance(c, str) else re.sub(r"\s+", " ", re.sub(r"([\\*_\[\]`])", r"\\\1", c)) for c in n.children)
 
-    def piece(c: Node | str) -> str:
-        if isinstance(c, str):
-            return re.sub(r"\s+", " ", re.sub(r"([\\*_\[\]`])", r"\\\1", c))
-        inner = inline(c)
+    def piece(c: Node) -> str:
         if c.tag in ("b", "strong", "em", "i", "del", "s", "strike"):
-            mark = {"b": "**", "strong": "**", "em": "*", "i": "*"}.get(c.tag, "~~")
+            inner, mark = inline(c), {"b": "**", "strong": "**", "em": "*", "i": "*"}.get(c.tag, "~~")
             return f"{mark}{inner.strip()}{mark}" if inner.strip() else inner
         if c.tag == "a":
-            href = (c.get("href") or "").strip()
+            inner, href = inline(c), (c.get("href") or "").strip()
             return f"[{inner.strip()}]({href})" if href and not href.lower().startswith("javascript:") else inner
         if c.tag == "img":
             src = _source(c)
@@ -132,16 +165,23 @@ def markdown(node: Node) -> str:
             return "  \n"
         if c.tag == "code":
             return f"`{c.text()}`"
+        if c.tag == "input" and (c.get("type") or "").lower() == "checkbox" and c.parent is not None and c.parent.tag == "li":
+            return "[x] " if "checked" in c.attrs else "[ ] "
         if c.tag in _BLOCK:
             return "\n\n" + block(c) + "\n\n"
-        return inner
+        return inline(c)
+
+    def rows_of(n: Node) -> list[Node]:
+        below = [c for c in n.children if not isinstance(c, str)]
+        return [r for c in below for r in ([c] if c.tag == "tr" else [x for x in c.children if not isinstance(x, str) and x.tag == "tr"] if c.tag in ("thead", "tbody", "tfoot") else [])]
 
     def block(n: Node) -> str:
         if n.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             return "#" * int(n.tag[1]) + " " + inline(n).strip()
         if n.tag in ("ul", "ol"):
             items = [c for c in n.children if not isinstance(c, str) and c.tag == "li"]
-            return "\n".join((f"{i}. " if n.tag == "ol" else "- ") + inline(c).strip().replace("\n", "\n  ") for i, c in enumerate(items, 1))
+            first = int(n.get("start")) if (n.get("start") or "").isdigit() else 1
+            return "\n".join((f"{i}. " if n.tag == "ol" else "- ") + done[id(c)].strip().replace("\n", "\n  ") for i, c in enumerate(items, first))
         if n.tag == "pre":
             return "```\n" + n.text().rstrip("\n") + "\n```"
         if n.tag == "blockquote":
@@ -152,8 +192,16 @@ def markdown(node: Node) -> str:
             img, caption = n.first("img"), n.first("figcaption")
             if img is not None and _source(img):
                 return f"![{_squeezed(caption.text()) if caption else img.get('alt') or ''}]({_source(img)})"
+        if n.tag == "table":
+            rows = [[c for c in r.children if not isinstance(c, str) and c.tag in ("td", "th")] for r in rows_of(n)]
+            if rows and rows[0] and all(c.tag == "th" for c in rows[0]):  # a table without a heading row has no Markdown form
+                cells = [[re.sub(r"\s+", " ", done[id(c)]).strip().replace("|", "\\|") for c in r] for r in rows]
+                rule = [{"left": ":--", "right": "--:", "center": ":-:"}.get((c.get("align") or "").lower(), "---") for c in rows[0]]
+                return "\n".join("| " + " | ".join(r) + " |" for r in [cells[0], rule, *cells[1:]])
         return inline(n)
 
+    for x in reversed(list(node.walk())):
+        done[id(x)] = piece(x)
     lines = "\n".join(x.strip() if not x.startswith("  ") else x.rstrip() for x in block(node).split("\n"))
     return re.sub(r"\n{3,}", "\n\n", lines).strip() + "\n"
 
@@ -161,58 +209,127 @@ def markdown(node: Node) -> str:
 _BLOCK = frozenset("p div section article main h1 h2 h3 h4 h5 h6 ul ol pre blockquote hr figure table tr header footer aside body".split())
 
 
-def extract_page(html: str | None, platform: str | None = "generic") -> tuple:
-    """One page's row of EXTRACTED; addresses are as they stand in the page. The platform decides where the main part is looked for;
-    on wix, images and galleries outside it follow those within."""
+def _attr(page: Node, selector: str, name: str) -> str | None:
+    """The attribute of the first element that the selector finds, None where it is absent or empty."""
+    node = page.first(selector)
+    return (node.get(name) or None) if node is not None else None
+
+
+def site_metadata(page: Node) -> dict[str, str]:
+    """What a page says of its site: titles, addresses as they stand, Open Graph and Twitter cards; only what is there."""
+    title = page.first("title")
+    got = {
+        "site_title": (_attr(page, "meta[property='og:site_name']", "content") or "").strip() or (title.text().strip() if title else ""),
+        "description": _meta(page, "og:description") or (_attr(page, "meta[name='description']", "content") or "").strip(),
+        "canonical": _attr(page, "link[rel='canonical']", "href") or _attr(page, "meta[property='og:url']", "content"),
+        "favicon": _attr(page, "link[rel='icon']", "href") or _attr(page, "link[rel='shortcut icon']", "href") or _attr(page, "link[rel='apple-touch-icon']", "href"),
+        "logo": _attr(page, "meta[property='og:image']", "content") or _attr(page, "img[alt*='logo' i]", "src") or _attr(page, "img[class*='logo' i]", "src"),
+    }
+    got |= {f"og_{k}": _attr(page, f"meta[property='og:{k}']", "content") for k in OPEN_GRAPH}
+    got |= {f"twitter_{k}": _attr(page, f"meta[name='twitter:{k}']", "content") for k in TWITTER}
+    return {k: v for k, v in got.items() if v}
+
+
+def _terms(page: Node, meta: str, selector: str) -> list[str]:
+    """Texts of a post's categories or tags: all of the metadata, then the new ones of the markup."""
+    out = [v for n in page.select(f"meta[property='{meta}']") if (v := (n.get("content") or "").strip())]
+    for n in page.select(selector):
+        if (v := n.text().strip()) and v not in out:
+            out.append(v)
+    return out
+
+
+def _first_of_each(rows: list[tuple]) -> list[tuple]:
+    """The rows whose first value no earlier row has."""
+    out: dict = {}
+    for x in rows:
+        out.setdefault(x[0], x)
+    return list(out.values())
+
+
+def _gallery_images(g: Node) -> list[str]:
+    found = (i.get("src") or i.get("data-src") or i.get("data-lazy-src") for i in g.select("img"))
+    return list(dict.fromkeys(s for s in found if s and not s.startswith("data:")))
+
+
+def extract_page(html: str | None, platform: str | None = "generic", parts_wanted: frozenset[str] | None = None) -> tuple:
+    """One page's row of EXTRACTED; addresses are as they stand in the page (site.resolved makes them absolute). The platform decides where the main
+    part is looked for; on wix, images and galleries outside it follow those within. parts_wanted: names whose values are needed, all if None.
+
+    Scripts are gone before posts are told from pages, so a post that only its JSON-LD names is no post."""
+    want = lambda *names: parts_wanted is None or not parts_wanted.isdisjoint(names)
     page, platform = parse(html), platform or "generic"
     title, description = _title(page), _meta(page, "og:description", "description")
-    nav_links: list[Node] = next((found for s in MENUS if (found := [a for n in page.select(s) for a in n.select("a[href]")])), []) or page.select("header a[href], #SITE_HEADER a[href]")
+    nav_links: list[Node] = next((found for s in MENUS if (found := [a for n in page.select(s) for a in n.select("a[href]")])), []) or page.select("header a[href], #SITE_HEADER a[href]") if want("nav") else []
     nav = list(dict.fromkeys((_squeezed(a.text()), a.get("href")) for a in nav_links))
     nav = [x for x in nav if x[0] and x[1] and len(x[0]) <= 80]
-    canonical = page.first("link[rel='canonical']")
-    blog = _meta(page, "og:type") == "article" or page.first("meta[property='article:published_time']") is not None
-    published, author = _meta(page, "article:published_time", "publish-date"), _meta(page, "article:author", "author")
+    canonical = _attr(page, "link[rel='canonical']", "href")
+    anchors = list(dict.fromkeys(a.get("href") for a in page.select("a[href]") if a.get("href"))) if want("anchors") else []
+    meta = site_metadata(page) if want("meta") else {}
+    og_image = _attr(page, "meta[property='og:image']", "content")
+    language = page.get("lang") or None
+    if not want("headings", "text_content", "html_content", "blog_marks", "published", "author", "images", "links", "videos", "galleries", "markdown", "categories", "tags"):
+        return (title, description, [], "", "", language, canonical, False, None, None, [], [], nav, [], [], "", og_image, [], [], anchors, meta)
     for node in page.select(", ".join(filter(None, [CHROME, PLATFORM_CHROME.get(platform)]))):
         node.remove()
+    blog = (_attr(page, "meta[property='og:type']", "content") or "").lower() == "article" or page.first("meta[property='article:published_time']") is not None
     blog = blog or page.first("article.blog-post, .blog-post, .post-content, .entry-content, [data-testid='post-content'], .blog-post-page, article.post") is not None
+    text = lambda selector: node.text().strip() if (node := page.first(selector)) is not None else None
+    published = _attr(page, "meta[property='article:published_time']", "content") or _attr(page, "meta[name='publish-date']", "content") or _attr(page, "time[datetime]", "datetime") or text("time")
+    author = _attr(page, "meta[property='article:author']", "content") or _attr(page, "meta[name='author']", "content") or text("[rel='author']") or text(".author")
+    categories = _terms(page, "article:section", ".category, .categories a, [rel='category']")
+    tags = _terms(page, "article:tag", ".tags a, .tag, [rel='tag']")
     main = _main(page, platform)
     parts = [main, page] if platform == "wix" else [main]
-    time, by = main.first("time[datetime]"), main.first("[rel='author'], .author")
-    images, seen = [], set()
+    within = lambda selector: [n for part in parts for n in ([part] if any_match(part, selector) else []) + part.select(selector)]
+    images = []
     for img in [i for part in parts for i in part.select("img")]:
         src = _source(img) or (img.get("data-pin-media") if platform == "wix" else None)
-        if src and src not in seen:
-            seen.add(src)
-            images.append((src, img.get("alt"), _number(img.get("width")), _number(img.get("height"))))
-    links = list({a.get("href"): (a.get("href"), _squeezed(a.text())) for a in reversed(main.select("a[href]"))}.values())[::-1]
-    videos = [(v.get("src"), v.get("title")) for v in main.select("video[src], source[src], iframe[src]") if v.tag != "iframe" or re.search(r"youtube|youtu\.be|vimeo|wistia", v.get("src"))]
+        if src:
+            images.append((src, (img.get("alt") or "").strip() or None, _number(img.get("width")), _number(img.get("height")), False))
+    for node in within("[style*='background']"):
+        hit = re.search(r"""(?i)url\(["']?([^"')]+)["']?\)""", node.get("style") or "")
+        if hit and not hit[1].startswith("data:"):
+            images.append((hit[1], None, None, None, True))
+    images = _first_of_each(images)
+    links = _first_of_each([(a.get("href"), _squeezed(a.text())) for a in main.select("a[href]") if a.get("href")])
+    videos = [(v.get("src"), None, False) for v in main.select("video source, video") if v.get("src")] + [(v.get("src"), (v.get("title") or "").strip() or None, True) for v in main.select("iframe[src]") if v.get("src")]
     galleries = []
     for part in parts:
-        for g in part.select("[class*='gallery'], [class*='Gallery'], [data-testid*='gallery']"):
-            sources = list(dict.fromkeys(s for i in g.select("img") if (s := _source(i))))
-            if len(sources) >= 3 and (part is main or all(sources[0] != x[0] for x in galleries)):
-                galleries.append(sources)
+        for selector in GALLERIES:
+            for g in ([part] if part is main and any_match(part, selector) else []) + part.select(selector):
+                sources = _gallery_images(g)
+                if len(sources) >= 3 and (part is main or all(sources[0] != x[0] for x in galleries)):
+                    galleries.append(sources)
     headings = [h for n in main.select("h1, h2, h3, h4, h5, h6") if (h := _squeezed(n.text()))]
     return (
-        title, description, headings, _squeezed(main.text()), main.inner(), page.get("lang"), canonical.get("href") if canonical else None, blog,
-        (published or (time.get("datetime") if time else None) or "")[:32] or None, author or (_squeezed(by.text()) if by else None), images, links, nav, videos, galleries, markdown(main),
+        title, description, headings, _squeezed(main.text()), main.outer() if want("html_content") else "", language, canonical, blog, (published or "")[:32] or None, (author or "").strip() or None, images, links, nav, videos, galleries,
+        markdown(main) if want("markdown") else "", og_image, categories, tags, anchors, meta,
     )
 
 
 @functools.cache
-def _columns() -> list[str]:
-    return [x.strip().split(" ")[0] for x in re.split(r",\s*(?=[a-z_]+ (?:string|array|boolean))", EXTRACTED)]
+def _columns() -> list[tuple[str, str]]:
+    return [tuple(x.strip().split(" ", 1)) for x in re.split(r",\s*(?=[a-z_]+ (?:string|array|boolean|map))", EXTRACTED)]
+
 
+def extract(pages: DataFrame, html: str = "html", extractor: Callable = extract_page, platform: str | None = None, fields: list[str] | None = None) -> DataFrame:
+    """pages with a column page, the struct EXTRACTED of each, or some fields of it; the page is parsed once. platform names a column such as detect
+    adds. The function counts as nondeterministic, so that no plan runs it a second time for a filter or an explode."""
+    columns = [c for c in _columns() if fields is None or c[0] in fields]
+    names, wanted = [c[0] for c in columns], None if fields is None else frozenset(fields)
+    places = [i for i, c in enumerate(_columns()) if c[0] in names]
 
-def extract(pages: DataFrame, html: str = "html", extractor: Callable = extract_page, platform: str | None = None) -> DataFrame:
-    """pages with a column page, the struct EXTRACTED of each; the page is parsed once. platform names a column such as detect adds."""
+    def row(x: str | None, kind: str | None) -> list:
+        got = extractor(x, kind, wanted) if extractor is extract_page else extractor(x, kind)
+        return [got[i] for i in places]
 
-    @F.pandas_udf(f"struct<{', '.join(x.replace(' ', ':', 1) for x in re.split(r',\s*(?=[a-z_]+ (?:string|array|boolean))', EXTRACTED))}>")
+    @F.pandas_udf(f"struct<{', '.join(f'{n}:{t}' for n, t in columns)}>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for batch, kinds in batches:
-            yield pd.DataFrame([extractor(x, k) for x, k in zip(batch, kinds, strict=True)], columns=_columns())
+            yield pd.DataFrame([row(x, k) for x, k in zip(batch, kinds, strict=True)], columns=names)
 
-    return pages.withColumn("page", run(html, platform or F.lit("generic")))
+    return pages.withColumn("page", run.asNondeterministic()(html, platform or F.lit("generic")))
 
 
 def with_kind(pages: DataFrame, platform: str = "platform", url: str = "url", page: str = "page") -> DataFrame:
@@ -299,23 +416,54 @@ def import_action(collection: Column, exists: Column, refs: Column, missing: Col
     return F.when(page, "skippedProtected").when(entry & (refs > 0) & (missing == 0), "skippedExisting").when(entry, "filledImages").otherwise("added")
 
 
-def validate(files: DataFrame) -> DataFrame:
-    """Issues of Markdown files (file, ord, folder, slug, title, description, date): file, level, message."""
+def validate(files: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """Issues of Markdown files (pack, file, ord, title, description, slug, date, and refs: the image references): pack, file, ord, level, message.
+
+    Within a pack, names and slugs must be used once; a file whose title or slug is null or empty breaks the schema and is not looked at further.
+    present (pack, path): the pack's other files; references are looked for in the pack, beside the file and in the images folder.
+    """
     name = F.regexp_extract("file", "([^/]*)$", 1)
-    by = lambda c: Window.partitionBy(c).orderBy("ord")
-    named = files.withColumn("name", name).withColumn("first_name", F.first("file").over(by("name"))).withColumn("nth_name", F.row_number().over(by("name")))
-    named = named.withColumn("first_slug", F.first("file").over(by("slug"))).withColumn("nth_slug", F.row_number().over(by("slug")))
-    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    rules = [
-        (F.col("nth_name") > 1, "error", F.concat(F.lit("Duplicate filename (also "), F.col("first_name"), F.lit(")"))),
-        (empty("title"), "error", F.lit("Missing title")),
-        (empty("description"), "error", F.lit("Missing description")),
-        (empty("slug"), "error", F.lit("Missing slug")),
-        (~empty("slug") & (F.col("nth_slug") > 1), "error", F.concat(F.lit("Duplicate slug (used by "), F.col("first_slug"), F.lit(")"))),
-        (F.col("folder").isin("blog", "portfolio") & (F.coalesce("date", F.lit(T.NO_DATE)) == T.NO_DATE), "error", F.lit("Missing date")),
-    ]
-    issues = F.filter(F.array(*[F.when(c, F.struct(F.lit(level).alias("level"), message.alias("message"))) for c, level, message in rules]), lambda x: x.isNotNull())
-    return named.select("file", F.explode(issues).alias("i")).select("file", "i.level", "i.message")
+    none = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    rows = files.withColumn("name", name).withColumn("valid", ~none("title") & ~none("slug"))
+    slugged = F.when(F.col("valid") & (F.trim("slug") != ""), F.col("slug"))
+    # The first of a name or slug comes from an aggregate, which is combined before the shuffle: index.md may be on every pack of a table.
+    first = lambda key, out: rows.withColumn("key", key).where("key is not null").groupBy("pack", "key").agg(F.min(F.struct("ord", "file")).alias(out))
+    named = rows.join(first(F.col("name"), "by_name").withColumnRenamed("key", "name"), ["pack", "name"]).withColumn("key", slugged).join(first(slugged, "by_slug"), ["pack", "key"], "left")
+    say = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    dated = F.col("file").rlike("^(blog|portfolio)/")
+    valid = F.col("valid")
+    wrong = lambda c: F.when(F.col(c).isNull(), say(f"Invalid frontmatter: {c} — Required")).when(F.col(c) == "", say(f"Invalid frontmatter: {c} — String must contain at least 1 character(s)"))
+    error = lambda condition, message: F.when(condition, F.struct(F.lit("error").alias("level"), message.alias("message")))
+    issues = F.array(
+        error(F.col("by_name.ord") < F.col("ord"), say('Duplicate filename "', F.col("name"), '" also used by ', F.col("by_name.file"))),
+        error(none("title"), wrong("title")),
+        error(none("slug"), wrong("slug")),
+        error(valid & (F.trim("title") == ""), say("Missing title")),
+        error(valid & (F.trim(F.coalesce("description", F.lit(""))) == ""), say("Missing description")),
+        error(valid & (F.trim("slug") == ""), say("Missing slug")),
+        error(valid & (F.col("by_slug.ord") < F.col("ord")), say('Duplicate slug "', F.col("slug"), '" also used by ', F.col("by_slug.file"))),
+        error(valid & dated & (F.coalesce(F.nullif("date", F.lit("")), F.lit(T.NO_DATE)) == T.NO_DATE), say("Missing real date (1970-01-01 means article date was not found)")),
+    )
+    found = named.select("pack", "file", "ord", F.explode(F.filter(issues, lambda x: x.isNotNull())).alias("i")).select("pack", "file", "ord", "i.level", "i.message")
+    if "refs" not in files.columns:
+        return found
+    refs = rows.where("valid").select("pack", "file", "ord", F.posexplode("refs").alias("nth", "ref"))
+    remote = refs.where(F.col("ref").rlike("(?i)^https?://")).select("pack", "file", "ord", F.lit("warning").alias("level"), say("Remote image reference remains: ", F.col("ref")).alias("message"))
+    if present is None:
+        return found.unionByName(remote)
+    plain, beside = F.regexp_replace("ref", "^/", ""), F.regexp_extract("file", "^(.*/)?[^/]*$", 1)
+    places = F.array_distinct(F.transform(F.array(plain, F.col("ref"), F.concat(beside, F.col("ref")), F.concat(F.lit("images/"), F.regexp_extract("ref", "([^/]*)$", 1))), lambda x: F.regexp_replace(x, r"^(\./|/)+", "")))
+    local = refs.where(~F.col("ref").rlike("(?i)^https?://"))
+    there = present.select("pack", "path").distinct().withColumn("there", F.lit(True))
+    held = local.withColumn("path", F.explode(places)).join(there, ["pack", "path"], "left").groupBy("pack", "file", "ord", "nth", "ref").agg(F.max("there").alias("there"))
+    gone = held.where("there is null").select("pack", "file", "ord", F.lit("error").alias("level"), say("Missing image file for reference: ", F.col("ref")).alias("message"))
+    return found.unionByName(remote).unionByName(gone)
+
+
+def is_valid(issues: DataFrame, packs: DataFrame) -> DataFrame:
+    """(pack, ok): packs (pack) without errors; warnings do not count."""
+    bad = issues.where("level = 'error'").groupBy("pack").agg(F.count(F.lit(1)).alias("errors"))
+    return packs.select("pack").distinct().join(bad, "pack", "left").select("pack", F.col("errors").isNull().alias("ok"))
 
 
 def crawl(seeds: DataFrame, links: DataFrame, depth: int = 10) -> DataFrame:

@@ -15,6 +15,8 @@ from webloom.functions import text as T
 from webloom.functions import urls as U
 from webloom.operators import packs as K
 from webloom.operators import pages as P
+from webloom.operators import site as S
+from webloom.plans import vectors as V
 from webloom.session import table
 from webloom.sources import discovery as D
 
@@ -33,11 +35,11 @@ def _query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return _QUERIES | V.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | V.SQL
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,17 +100,16 @@ def slug_numbered(spark, sf_dir):
     return P.number_slugs(rows, "base", "page_id").select("page_id", "site", "base", "slug")
 
 
-def _extracted(spark, sf_dir):
-    return P.extract(_pages(spark, sf_dir)).select("page_id", "url", "page.*")
+def _extracted(spark, sf_dir, *fields):
+    return P.extract(_pages(spark, sf_dir), fields=list(fields)).select("page_id", "url", "page.*")
 
 
 _H1 = _decoded("trim(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '\\s+', ' ', 'g'))")
 
 
-@_query(f"SELECT page_id, {_H1} AS title, 'en' AS language FROM pages")
+@_query(f"""SELECT page_id, {_H1} AS title, nullif(regexp_extract(html, '<html lang="([^"]*)"', 1), '') AS language FROM pages""")
 def page_titles(spark, sf_dir):
-    rows = _extracted(spark, sf_dir)
-    return rows.select("page_id", "title", F.lit("en").alias("language"))
+    return _extracted(spark, sf_dir, "title", "language").select("page_id", "title", "language")
 
 
 @_query(
@@ -116,7 +117,7 @@ def page_titles(spark, sf_dir):
 SELECT page_id, count(DISTINCT href) AS n_links, min({_decoded("href")}) AS first_href, max({_decoded("href")}) AS last_href FROM a GROUP BY 1"""
 )
 def nav_links(spark, sf_dir):
-    rows = _extracted(spark, sf_dir).select("page_id", F.explode("nav").alias("x")).select("page_id", F.col("x.href").alias("href"))
+    rows = _extracted(spark, sf_dir, "nav").select("page_id", F.explode("nav").alias("x")).select("page_id", F.col("x.href").alias("href"))
     return rows.groupBy("page_id").agg(F.countDistinct("href").alias("n_links"), F.min("href").alias("first_href"), F.max("href").alias("last_href"))
 
 
@@ -125,7 +126,7 @@ def nav_links(spark, sf_dir):
 SELECT site, href, count(*) AS in_degree FROM a GROUP BY 1, 2"""
 )
 def link_degree(spark, sf_dir):
-    rows = _extracted(spark, sf_dir).select("page_id", U.origin(F.col("url")).alias("site"), F.explode("nav").alias("x")).select("site", "page_id", F.col("x.href").alias("href")).distinct()
+    rows = _extracted(spark, sf_dir, "nav").select("page_id", U.origin(F.col("url")).alias("site"), F.explode("nav").alias("x")).select("site", "page_id", F.col("x.href").alias("href")).distinct()
     return rows.groupBy("site", "href").agg(F.count(F.lit(1)).alias("in_degree"))
 
 
@@ -211,9 +212,9 @@ def sitemap_urls(spark, sf_dir):
     return D.sitemap_urls(roots.unionByName(leaves.select("sitemap_url", "xml")), roots)
 
 
-@_query(f"SELECT DISTINCT {_ORIGIN} || '/' AS seed_url, {_NORMAL} AS url FROM pages WHERE page_id % 3 <> 0 AND NOT regexp_matches({_PATH}, '[^!-~]')")
+@_query(f"SELECT DISTINCT {_ORIGIN} || '/' AS seed_url, {_NORMAL} AS url FROM pages WHERE page_id % 3 <> 0")
 def feed_urls(spark, sf_dir):
-    rows = _pages(spark, sf_dir).where(~U._part(F.col("url"), 3).rlike("[^!-~]"))
+    rows = _pages(spark, sf_dir)
     link = F.when(F.col("page_id") % 3 == 0, F.lit("https://elsewhere.example/x")).otherwise(F.col("url"))
     xml = F.concat(F.lit("<item><link>"), link, F.lit("</link></item><atom:link href='/style.css'/>"))
     return D.feed_urls(rows.select(F.concat(U.origin(F.col("url")), F.lit("/")).alias("seed_url"), xml.alias("xml")))
@@ -238,18 +239,26 @@ def import_actions(spark, sf_dir):
 
 
 @_query(
-    f"""WITH f AS (SELECT page_id, page_id || '.md' AS file, {_SLUG} AS slug, CASE WHEN {_BLOG} THEN 'blog' ELSE 'pages' END AS folder FROM pages),
-r AS (SELECT *, row_number() OVER w AS k, first_value(file) OVER w AS f1 FROM f WINDOW w AS (PARTITION BY slug ORDER BY page_id))
-SELECT file, 'error' AS level, 'Duplicate slug (used by ' || f1 || ')' AS message FROM r WHERE k > 1 UNION ALL SELECT file, 'error', 'Missing date' FROM r WHERE folder = 'blog' AND page_id % 2 = 0
-UNION ALL SELECT file, 'error', 'Missing description' FROM r WHERE page_id % 11 = 0"""
+    f"""WITH f AS (SELECT {_ORIGIN} AS pack, page_id AS ord, CASE WHEN {_BLOG} THEN 'blog/' ELSE 'pages/' END || page_id % 40 || '.md' AS file, page_id % 40 || '.md' AS name, CASE WHEN page_id % 13 = 0 THEN '' ELSE {_SLUG} END AS slug, page_id FROM pages),
+r AS (SELECT *, min_by(file, ord) OVER (PARTITION BY pack, name) AS fn, min(ord) OVER (PARTITION BY pack, name) AS on_, min_by(file, ord) OVER (PARTITION BY pack, slug) AS fs, min(ord) OVER (PARTITION BY pack, slug) AS os FROM f)
+SELECT pack, file, ord, 'error' AS level, 'Duplicate filename "' || name || '" also used by ' || fn AS message FROM r WHERE on_ < ord
+UNION ALL SELECT pack, file, ord, 'error', 'Invalid frontmatter: slug — String must contain at least 1 character(s)' FROM r WHERE slug = ''
+UNION ALL SELECT pack, file, ord, 'error', 'Duplicate slug "' || slug || '" also used by ' || fs FROM r WHERE slug <> '' AND os < ord
+UNION ALL SELECT pack, file, ord, 'error', 'Missing description' FROM r WHERE slug <> '' AND page_id % 11 = 0
+UNION ALL SELECT pack, file, ord, 'error', 'Missing real date (1970-01-01 means article date was not found)' FROM r WHERE slug <> '' AND file LIKE 'blog/%' AND page_id % 2 = 0
+UNION ALL SELECT pack, file, ord, 'warning', 'Remote image reference remains: https://c.d/' || page_id || '.png' FROM r WHERE slug <> '' AND page_id % 5 = 0
+UNION ALL SELECT pack, file, ord, 'error', 'Missing image file for reference: /images/' || page_id || '.png' FROM r WHERE slug <> '' AND page_id % 5 = 1 AND page_id % 3 <> 0"""
 )
 def validate_issues(spark, sf_dir):
+    i = F.col("page_id")
     base = T.slug(F.regexp_replace(F.regexp_replace(F.coalesce(F.nullif(U._part(F.col("url"), 3), F.lit("")), F.lit("/")), "^/+|/+$", ""), "^$", "home"))
     rows = _pages(spark, sf_dir).select(
-        F.col("page_id").alias("ord"), F.concat(F.col("page_id").cast("string"), F.lit(".md")).alias("file"), base.alias("slug"), F.when(F.col("url").rlike(P.BLOG_URL), "blog").otherwise("pages").alias("folder"),
-        F.lit("t").alias("title"), F.when(F.col("page_id") % 11 == 0, " ").otherwise("d").alias("description"), F.when(F.col("page_id") % 2 == 0, T.NO_DATE).otherwise("2024-01-02").alias("date"),
+        U.origin(F.col("url")).alias("pack"), i.alias("ord"), F.concat(F.when(F.col("url").rlike(P.BLOG_URL), "blog/").otherwise("pages/"), (i % 40).cast("string"), F.lit(".md")).alias("file"), F.when(i % 13 == 0, "").otherwise(base).alias("slug"),
+        F.lit("t").alias("title"), F.when(i % 11 == 0, " ").otherwise("d").alias("description"), F.when(i % 2 == 0, T.NO_DATE).otherwise("2024-01-02").alias("date"),
+        F.when(i % 5 == 0, F.array(F.concat(F.lit("https://c.d/"), i.cast("string"), F.lit(".png")))).when(i % 5 == 1, F.array(F.concat(F.lit("/images/"), i.cast("string"), F.lit(".png")))).otherwise(F.array().cast("array<string>")).alias("refs"),
     )
-    return P.validate(rows)
+    present = rows.where(F.col("ord") % 3 == 0).select("pack", F.concat(F.lit("images/"), F.col("ord").cast("string"), F.lit(".png")).alias("path"))
+    return P.validate(rows, present)
 
 
 @_query(
@@ -314,7 +323,7 @@ def crawl_depths(spark, sf_dir):
 
 @_query()
 def page_markdown(spark, sf_dir):
-    return _extracted(spark, sf_dir).select("page_id", "title", "markdown", F.size("headings").alias("n_headings"))
+    return _extracted(spark, sf_dir, "title", "markdown", "headings").select("page_id", "title", "markdown", F.size("headings").alias("n_headings"))
 
 
 # Content packs: heroes, galleries and images by page number, some shared by pages, a quarter of the own ones not downloaded.
@@ -386,9 +395,11 @@ def report_files(spark, sf_dir):
 
 
 @_query(
-    f"""WITH e AS (SELECT page_id, {_ORIGIN} AS pack, CASE WHEN {_BLOG} THEN 'blog' ELSE 'pages' END AS collection, page_id % 5 AS k FROM pages)
-SELECT pack, collection, 'p' || page_id AS slug, CASE WHEN collection = 'pages' THEN CASE WHEN page_id = 2 THEN 'skippedProtected' ELSE 'added' END WHEN page_id % 2 = 1 THEN 'added' WHEN k < 3 THEN 'skippedExisting' ELSE 'filledImages' END AS action,
- 't: 1' AS title, CASE WHEN collection = 'blog' THEN '2024-01-02' END AS date, CASE WHEN k <> 1 THEN '/images/' || k || '.png' END AS hero, CASE WHEN k = 1 THEN 'text' || chr(10) ELSE '![x](/images/' || k || '.png)' || chr(10) || chr(10) || 'text' || chr(10) END AS body FROM e"""
+    f"""WITH e AS (SELECT page_id, {_ORIGIN} AS pack, CASE WHEN {_BLOG} THEN 'blog' ELSE 'pages' END AS collection, page_id % 5 AS k FROM pages),
+a AS (SELECT *, CASE WHEN page_id % 2 = 1 THEN 'added' WHEN collection = 'pages' THEN 'skippedProtected' WHEN k < 3 THEN 'skippedExisting' ELSE 'filledImages' END AS action FROM e)
+SELECT pack, collection, 'p' || page_id AS slug, action, CASE WHEN action = 'filledImages' THEN 'old' ELSE 't: 1' END AS title, CASE WHEN action = 'filledImages' THEN 'kept' ELSE 't: 1' END AS description,
+ CASE WHEN collection = 'blog' THEN CASE WHEN action = 'filledImages' THEN '2020-02-03' ELSE '2024-01-02' END END AS date, CASE WHEN k <> 1 OR action = 'filledImages' THEN '/images/' || k || '.png' END AS hero,
+ CASE WHEN action = 'filledImages' THEN 'own words' || chr(10) WHEN k = 1 THEN 'text' || chr(10) ELSE '![x](/images/' || k || '.png)' || chr(10) || chr(10) || 'text' || chr(10) END AS body FROM a"""
 )
 def import_packs(spark, sf_dir):
     i = F.col("page_id")
@@ -398,13 +409,126 @@ def import_packs(spark, sf_dir):
                                           K.markdown_file({"title": F.lit("t: 1"), "slug": F.lit("x"), "date": F.lit("2024-01-02"), "heroImage": image}, body).alias("content"))
     files = rows.where(i % 5 < 3).select("site_path").distinct().withColumnRenamed("site_path", "path")
     review = rows.where(i % 5 == 1).select("pack", "site_path").distinct().withColumn("flags", F.array(F.lit("chrome")))
-    plan = K.import_pack(rows.select("pack", "collection", "slug", "content"), rows.where(i % 2 == 0), files, review, ["p2"])
-    return plan.select("pack", "collection", "slug", "action", "front.title", "front.date", F.col("front.heroImage").alias("hero"), "body")
+    old = K.markdown_file({"title": F.lit("old"), "description": F.lit("kept"), "slug": F.lit("x"), "date": F.lit("2020-02-03"), "heroImage": F.lit("/images/gone.png")}, F.lit("own words"))
+    plan = K.import_pack(rows.select("pack", "collection", "slug", "content"), rows.where(i % 2 == 0).select("collection", "slug", old.alias("content")), files, review, ["p2"])
+    return plan.select("pack", "collection", "slug", "action", "front.title", "front.description", "front.date", F.col("front.heroImage").alias("hero"), "body")
 
 
-@_query()
+# Whole flow: the pages table as captures of its sites; every seventh page was not captured, every fourteenth is broken.
+_SITE = f"({_ORIGIN} || '/')"
+_CAPTURED = f"""WITH c AS (SELECT {_SITE} AS seed_url, {_NORMAL} AS normalized_url, min(page_id) AS page_id, min_by(html, page_id) AS html FROM pages GROUP BY 1, 2),
+m AS (SELECT *, row_number() OVER (PARTITION BY seed_url ORDER BY normalized_url) - 1 AS ord, CASE WHEN page_id % 14 = 0 THEN 'broken' WHEN page_id % 7 = 0 THEN 'missing' ELSE 'ok' END AS state FROM c)"""
+
+
+def _captures(spark, sf_dir):
+    rows = _pages(spark, sf_dir).select("page_id", F.concat(U.origin(F.col("url")), F.lit("/")).alias("seed_url"), F.col("url").alias("raw"), U.normalize(F.col("url")).alias("normalized_url"), "html")
+    first = rows.groupBy("seed_url", "normalized_url").agg(F.min("page_id").alias("page_id"), F.min_by("raw", "page_id").alias("url"), F.min_by("html", "page_id").alias("html"))
+    listed = D.manifest(first.select("seed_url", "url", "normalized_url", "page_id", F.lit(1).alias("depth"), F.lit(None).cast("string").alias("title")))
+    status = F.when(F.col("page_id") % 14 == 0, 404).otherwise(200)
+    fetched = first.select("seed_url", "normalized_url", status.alias("status"), F.when(F.col("page_id") % 7 > 0, F.col("html")).alias("html"))
+    return D.captures(listed, fetched)
+
+
+@_query(_CAPTURED + " SELECT seed_url, normalized_url, ord, page_id, state FROM m")
+def capture_states(spark, sf_dir):
+    return _captures(spark, sf_dir).select("seed_url", "normalized_url", "ord", "page_id", "state")
+
+
+def _migrated(spark, sf_dir):
+    fetched = spark.createDataFrame([], "seed_url string, remote_url string, content binary, content_type string")
+    return S.migrate(_captures(spark, sf_dir), fetched)
+
+
+_MBLOG = _BLOG.replace("(url,", "(normalized_url,")
+
+
+@_query(
+    _CAPTURED
+    + f""" SELECT seed_url, 'Generic HTML' AS platform, count_if(state = 'ok')::BIGINT AS pages, count_if(state = 'ok' AND {_MBLOG})::BIGINT AS blog_posts, 0::BIGINT AS images, 0::BIGINT AS galleries,
+ coalesce(array_to_string(list_sort(list(normalized_url) FILTER (state = 'broken')), ' '), '') AS broken_links, count_if(state <> 'ok')::BIGINT AS not_captured,
+ CASE WHEN count_if(state = 'ok') > 0 THEN 'description favicon' ELSE 'siteTitle description favicon navigation' END AS missing_metadata, CASE WHEN count_if(state = 'ok') > 0 THEN 2 ELSE 3 END::BIGINT AS n_recommendations FROM m GROUP BY 1"""
+)
+def site_reports(spark, sf_dir):
+    r = _migrated(spark, sf_dir)["report"]
+    missing = F.size(F.filter("warnings", lambda w: w.startswith("No HTML captured for "))).cast("long")
+    return r.select("seed_url", "platform", "pages", "blog_posts", "images", "galleries", F.array_join(F.array_sort("broken_links"), " ").alias("broken_links"), missing.alias("not_captured"), F.array_join("missing_metadata", " ").alias("missing_metadata"), F.size("recommendations").cast("long").alias("n_recommendations"))
+
+
+@_query(
+    _CAPTURED
+    + f""" SELECT seed_url, CASE WHEN {_MBLOG} THEN 'blog' ELSE 'pages' END AS path, count(*) AS n FROM m WHERE state = 'ok' GROUP BY 1, 2
+UNION ALL SELECT seed_url, p, 1 FROM (SELECT DISTINCT seed_url FROM m) CROSS JOIN (VALUES ('pages.json'), ('navigation.json'), ('sitemap.json'), ('image-review.json'), ('report.json'), ('report.md'), ('collections.config.example.ts')) AS v(p)
+UNION ALL SELECT seed_url, 'metadata.json', 1 FROM m WHERE state = 'ok' GROUP BY 1"""
+)
+def site_files(spark, sf_dir):
+    rows = _migrated(spark, sf_dir)["files"]
+    return rows.groupBy("seed_url", F.regexp_extract("path", "^([^/]*)", 1).alias("path")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(
+    f"""WITH c AS (SELECT page_id, {_SITE} AS seed_url, url, CASE page_id % 5 WHEN 0 THEN 'https://elsewhere.example/' || page_id WHEN 1 THEN {_SITE} || 'a/' || page_id || '.pdf' WHEN 2 THEN {_SITE} || 'tag/' || page_id WHEN 3 THEN {_SITE} || 'no/' || page_id ELSE url END AS raw FROM pages),
+n AS (SELECT DISTINCT seed_url, {_NORMAL.replace('url', 'raw')} AS normalized_url FROM c WHERE page_id % 5 = 4)
+SELECT seed_url, normalized_url, 1::INT AS depth, 'sitemap' AS source FROM n WHERE normalized_url <> seed_url UNION ALL SELECT DISTINCT seed_url, seed_url, 0::INT, 'seed' FROM c"""
+)
+def frontier(spark, sf_dir):
+    i, seed = F.col("page_id"), F.concat(U.origin(F.col("url")), F.lit("/"))
+    text = lambda before, after="": F.concat(seed, F.lit(before), i.cast("string"), F.lit(after))
+    raw = F.when(i % 5 == 0, F.concat(F.lit("https://elsewhere.example/"), i.cast("string"))).when(i % 5 == 1, text("a/", ".pdf")).when(i % 5 == 2, text("tag/")).when(i % 5 == 3, text("no/")).otherwise(F.col("url"))
+    rows = _pages(spark, sf_dir).select(seed.alias("seed_url"), raw.alias("raw"), F.lit(1).alias("depth"), F.lit("sitemap").alias("source"), (i + 1).alias("ord"))
+    seeds = rows.select("seed_url").distinct().select("seed_url", F.col("seed_url").alias("raw"), F.lit(0).alias("depth"), F.lit("seed").alias("source"), F.lit(0).cast("long").alias("ord"))
+    robots = seeds.select(U.origin(F.col("seed_url")).alias("site"), F.lit("User-agent: *\nUser-agent: other\nDisallow: /no/\n").alias("raw"))
+    return D.admitted(seeds.unionByName(rows), D.robots_rules(robots)).select("seed_url", "normalized_url", "depth", "source")
+
+
+@_query(f"""SELECT DISTINCT {_ORIGIN} AS site, CASE WHEN length({_ORIGIN}) % 2 = 0 THEN {_ORIGIN} || '/maps/' || length({_ORIGIN}) || '.xml' ELSE {_ORIGIN} || '/sitemap.xml' END AS sitemap_url FROM pages""")
+def robots_sitemaps(spark, sf_dir):
+    site = U.origin(F.col("url"))
+    raw = F.when(F.length(site) % 2 == 0, F.concat(F.lit("User-agent: *\nDisallow: /x\nSitemap: "), site, F.lit("/maps/"), F.length(site).cast("string"), F.lit(".xml\n"))).otherwise("Disallow: /\n")
+    return D.robots_sitemaps(_pages(spark, sf_dir).select(site.alias("site"), raw.alias("raw")).distinct())
+
+
+@_query(f"""SELECT page_id, NOT (CASE WHEN page_id % 2 = 0 THEN regexp_matches({_PATH}, '^/(en|de)/') ELSE regexp_matches({_PATH}, '^/fr/') END) AS allowed FROM pages""")
+def robots_agents(spark, sf_dir):
+    """Agents of one group share its rules; an agent's own group goes before that of all."""
+    raw = "User-agent: Loom/2\nuser-agent: other\nDisallow: /en/\nDisallow: /de/\n\nUser-agent: *\nDisallow: /fr/\n"
+    rows = _pages(spark, sf_dir).select("page_id", "url", U.origin(F.col("url")).alias("site"))
+    robots = rows.select("site").distinct().withColumn("raw", F.lit(raw))
+    own, every = (D.robots_allowed(rows.where(F.col("page_id") % 2 == k), D.robots_rules(robots, agent)) for k, agent in ((0, "loom/3.1"), (1, "someone")))
+    return own.unionByName(every).select("page_id", "allowed")
+
+
+@_query(
+    f"""WITH s AS (SELECT {_SITE} AS seed_url, page_id, {_NORMAL} AS url FROM pages), f AS (SELECT seed_url, min(page_id) % 2 = 0 AND count_if(page_id % 3 < 2) > 0 AS own FROM s GROUP BY 1)
+SELECT DISTINCT seed_url, url FROM s JOIN f USING (seed_url) WHERE own AND page_id % 3 < 2 OR NOT own AND page_id % 2 = 0"""
+)
+def rest_posts(spark, sf_dir):
+    """Sites whose own endpoint answers, and sites that only the hosting service knows; a page that fails ends the reading."""
+    rows = _pages(spark, sf_dir).select(F.concat(U.origin(F.col("url")), F.lit("/")).alias("seed_url"), "page_id", "url")
+    flag = rows.groupBy("seed_url").agg((F.min("page_id") % 2 == 0).alias("own"))
+    rows = rows.join(flag, "seed_url")
+    odd = F.array(F.struct(F.lit("https://elsewhere.example/p").alias("link")), F.struct(F.lit("/style.css").alias("link")))
+    body = F.to_json(F.concat(F.array_sort(F.collect_list(F.struct(F.col("url").alias("link")))), odd))
+    own = rows.where("own").groupBy("seed_url", (F.col("page_id") % 3 + 1).cast("int").alias("page")).agg(body.alias("json"))
+    own = own.select("seed_url", "page", F.lit(9).alias("total_pages"), F.when(F.col("page") < 3, F.col("json")).otherwise("{").alias("json"))
+    empty = rows.where("own").select("seed_url").distinct().withColumn("page", F.explode(F.array(F.lit(1), F.lit(2)))).join(own.select("seed_url", "page"), ["seed_url", "page"], "left_anti")
+    own = own.unionByName(empty.select("seed_url", "page", F.lit(9).alias("total_pages"), F.to_json(odd).alias("json")))
+    answer = F.to_json(F.struct(F.collect_list(F.struct(F.col("url").alias("URL"))).alias("posts"), F.lit(99).alias("found")))
+    hosted = rows.where("page_id % 2 = 0").groupBy("seed_url").agg(answer.alias("json")).withColumn("nth", F.lit(0))
+    return D.post_urls(own, hosted)
+
+
+@_query(f"""SELECT DISTINCT {_SITE} AS seed_url, CASE page_id % 3 WHEN 0 THEN 'https://a.b/p' || page_id || '.png' ELSE 'https://i0.wp.com/q' || page_id % 11 || '.jpg' END AS remote_url FROM pages WHERE page_id % 3 < 2 AND NOT (page_id % 3 = 1 AND page_id % 11 = 4)""")
+def downloads_wanted(spark, sf_dir):
+    i = F.col("page_id")
+    image = F.when(i % 3 == 0, F.concat(F.lit("https://a.b/p"), i.cast("string"), F.lit(".png"))).when(i % 3 == 1, F.concat(F.lit("https://i0.wp.com/q"), (i % 11).cast("string"), F.lit(".jpg?w="), i.cast("string"))).otherwise("https://a.b/favicon.ico")
+    rows = _pages(spark, sf_dir).select(F.concat(U.origin(F.col("url")), F.lit("/")).alias("seed_url"), image.alias("remote_url"))
+    known = rows.select("seed_url").distinct().withColumn("remote_url", F.lit("https://i0.wp.com/q4.jpg"))
+    return S.downloads_wanted(rows, known)
+
+
+@_query(f"SELECT page_id, 'generic' AS platform, {_BLOG} AS is_blog, CASE WHEN {_BLOG} THEN 'blog' ELSE 'page' END AS kind, 0 AS n_galleries FROM pages")
 def page_kinds(spark, sf_dir):
-    rows = P.with_kind(P.extract(P.detect(_pages(spark, sf_dir)), platform="platform"))
+    rows = P.with_kind(P.extract(P.detect(_pages(spark, sf_dir)), platform="platform", fields=["blog_marks", "galleries", "images", "headings", "text_content"]))
     return rows.select("page_id", "platform", "is_blog", "kind", F.size("galleries").alias("n_galleries"))
 
 
@@ -412,5 +536,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages normalised, first of each address, titled, numbered within their site and put into folders."""
     rows = _pages(spark, sf_dir).withColumn("normalized_url", U.normalize(F.col("url"))).withColumn("site", U.origin(F.col("url")))
     first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("site", "normalized_url").orderBy("page_id"))).where("nth = 1")
-    titled = P.extract(first).select("page_id", "site", "normalized_url", F.col("page.title").alias("title"), T.slug(U.path_name(F.col("url"))).alias("base"), F.col("url").rlike(P.BLOG_URL).alias("is_blog"))
+    titled = P.extract(first, fields=["title"]).select("page_id", "site", "normalized_url", F.col("page.title").alias("title"), T.slug(U.path_name(F.col("url"))).alias("base"), F.col("url").rlike(P.BLOG_URL).alias("is_blog"))
     return P.number_slugs(titled, "base", "page_id").withColumn("folder", P.folder(F.lit("page"), F.col("is_blog")))

@@ -23,6 +23,50 @@ def _quoted(text: str) -> str:
     return re.sub(r"([.*+?^${}()|\[\]\\])", r"\\\1", text.removeprefix("file://").removeprefix("file:"))
 
 
+def _hadoop(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def guard(spark: SparkSession, root: str, resume: bool = False, overwrite: bool = False) -> None:
+    """Refuses a folder that is there unless the run resumes or overwrites; overwriting empties it first."""
+    fs, path = _hadoop(spark, root)
+    if fs.exists(path):
+        if not (resume or overwrite):
+            raise FileExistsError(f"{root} already exists: resume or overwrite")
+        if overwrite and not resume:
+            fs.delete(path, True)
+    fs.mkdirs(path)
+
+
+def paths(spark: SparkSession, root: str) -> DataFrame:
+    """path (below root) of every file; no rows where the folder is not there. Contents are not read."""
+    fs, path = _hadoop(spark, root)
+    if not fs.exists(path):
+        return spark.createDataFrame([], "path string")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    return rows.select(F.regexp_extract("path", r".*?" + _quoted(root.rstrip("/")) + r"/(.*)$", 1).alias("path"))
+
+
+def pack_entries(tree: DataFrame) -> DataFrame:
+    """pack, collection, slug, content of the files of the three collections in a tree (pack, file, content), at any depth below them."""
+    at = r"^(pages|blog|portfolio)/(?:.*/)?([^/]*)\.md$"
+    return tree.where(F.col("file").rlike(at)).select("pack", F.regexp_extract("file", at, 1).alias("collection"), F.regexp_extract("file", at, 2).alias("slug"), "content")
+
+
+def json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a JSON file that holds an array of objects."""
+    text = spark.read.option("wholetext", "true").text(path)
+    return text.select(F.explode(F.from_json("value", f"array<struct<{schema}>>")).alias("x")).select("x.*")
+
+
+def review(spark: SparkSession, pack: str) -> DataFrame:
+    """site_path and flags of a pack's image-review.json; no rows where it is not there."""
+    fs, path = _hadoop(spark, f"{pack}/image-review.json")
+    schema = "site_path:string,flags:array<string>"
+    return json_table(spark, f"{pack}/image-review.json", schema) if fs.exists(path) else spark.createDataFrame([], "site_path string, flags array<string>")
+
+
 def images(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
 
