@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from webloom.llm import mixing, near_dedup, packing, passages, token_files
+from webloom.llm import mixing, near_dedup, packing, passages, quality, token_files
 from webloom.llm.encoding import Encoder, vocabulary_path
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -80,3 +80,11 @@ def test_texts_of_few_words(spark, n):
     table = spark.createDataFrame([(1, " ".join("abcdefg"[:n]))], "doc_id long, text string").coalesce(1)
     assert [r.class_id for r in near_dedup.near_dedup(table).collect()] == [1]
     assert passages.passages(table).count() == 0
+
+
+def test_consistency_factors():
+    """What is left of the variance where normal data are cut at the quantiles, by sampling."""
+    x = np.random.default_rng(8).normal(size=(400_000, 4))
+    d = (x * x).sum(axis=1)
+    for cut, share, left in ((quality.CHI_HALF, quality.HALF, quality.SHRINK_HALF), (quality.CHI_WEIGHT, 0.975, quality.SHRINK_WEIGHT)):
+        assert abs((d <= cut).mean() - share) < 0.003 and abs(x[d <= cut].var() - left) < 0.005

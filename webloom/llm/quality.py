@@ -8,7 +8,7 @@ distance is beyond the cutoff are rejected.
 
 All sums are of whole numbers (the statistics are rounded to 1/1024), and the nearest half comes from a histogram of distances,
 so nothing depends on the order of rows, and a group of any size is summed by partial aggregation. Groups with too few documents
-for an estimate use that of their language over all sources, then that of the whole table. Variances have a floor, so groups of copies do
+for an estimate use that of their language over all sources, then that of the whole table. Variances have a ridge, so groups of copies do
 not make all else an outlier. The statistics that spam pushes up are one-sided: below their centre they count as the centre.
 
 Null texts count as empty: no words, base_failed. Null languages and sources form groups of their own. Repeated rows are separate
@@ -18,6 +18,7 @@ documents. Texts of any length are used whole. An empty table gives an empty res
 from __future__ import annotations
 
 import functools
+import math
 import operator
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +31,7 @@ SYMBOLS = "#*$%&|<>"
 STATS = ("word_length", "symbols", "dup_lines", "repeats")
 #: Those that only count above their centre.
 ONE_SIDED = ("symbols", "dup_lines", "repeats")
-#: Least standard deviations, in the transformed units: below these, differences say nothing about quality.
+#: A ridge, as standard deviations in the transformed units: differences of this order say nothing about quality.
 FLOORS = {"word_length": 0.12, "symbols": 0.6, "dup_lines": 0.6, "repeats": 0.5}
 #: Documents that a group needs for an estimate of its own.
 LEAST_DOCS = 50
@@ -38,8 +39,19 @@ LEAST_DOCS = 50
 STEPS, HALF, UNIT = 6, 0.6, 1024
 #: Quantiles of chi-squared with 4 degrees of freedom: of the share HALF (consistency), 0.975 (reweighting), 0.999 (rejection).
 CHI_HALF, CHI_WEIGHT, CHI_REJECT = 4.0446, 11.1433, 18.4668
-#: Mean of the chi-squared of 4 below those quantiles, over 4: what truncation leaves of the variance.
-SHRINK_HALF, SHRINK_WEIGHT = 0.4613, 0.9291
+
+
+def chi2_share(x: float, freedom: int) -> float:
+    """The distribution function of chi-squared for an even number of degrees of freedom."""
+    half, term, total = x / 2, 1.0, 0.0
+    for k in range(freedom // 2):
+        total += term
+        term *= half / (k + 1)
+    return 1 - math.exp(-half) * total
+
+
+#: What truncation at those quantiles leaves of the variance: the mean of the chi-squared of 4 below them, over 4.
+SHRINK_HALF, SHRINK_WEIGHT = (chi2_share(x, len(STATS) + 2) / chi2_share(x, len(STATS)) for x in (CHI_HALF, CHI_WEIGHT))
 
 
 def base_counts(df: DataFrame, text: str) -> DataFrame:
@@ -111,7 +123,7 @@ def _squared_distance(one_sided: bool = False) -> Column:
 
 
 def _moments(rows: DataFrame, keys: list[str], shrink: float) -> DataFrame:
-    """Location and scatter of each group, from exact sums; shrink corrects for the truncation, the floors are added."""
+    """Location and scatter of each group, from exact sums; shrink corrects for the truncation, the ridge of FLOORS is added to the variances."""
     p, dec = len(STATS), "decimal(38,0)"
     sums = [F.count(F.lit(1)).alias("n")]
     sums += [F.sum(f"__{s}").alias(f"s{i}") for i, s in enumerate(STATS)]
