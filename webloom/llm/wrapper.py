@@ -6,8 +6,9 @@ by simple tree matching: the largest set of node pairs that keeps parents and or
 trees are merged into a wrapper; a leaf of it holds the text that may be its majority and how many pages speak for it (a majority vote, which
 merges). Hosts of any size are merged in parts of FAN pages and the wrappers of parts again, so no task holds a host.
 
-A text that is constant on a host is the majority of its leaf in some part, so all other leaves are pruned from a part's wrapper. Each page is
-then aligned with its host's wrapper, and the pages whose text at a leaf equals the wrapper's are counted exactly: a leaf that more than SHARE of
+A text that is constant on a host is the majority of its leaf in some part. So the leaves whose texts are on too few of a part's pages to be
+a majority anywhere are left out before its trees are aligned, and the leaves that are no majority are pruned from its wrapper. Each different page is
+then aligned with its host's wrapper, and those whose text at a leaf equals the wrapper's are counted exactly: a leaf that more than SHARE of
 the host's different pages agree on is template, and all else is a slot, which is content. An equal text elsewhere on a page stays.
 
 Null and empty pages give an empty text, as do pages without content; where all of a page is template, its text is kept. A host with one
@@ -21,6 +22,7 @@ import hashlib
 import json
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -114,7 +116,7 @@ def flat(root: Shape) -> list:
     out, stack = [], [(root, 0)]
     while stack:
         x, depth = stack.pop()
-        out.append([depth, x.label, x.text, x.pages, x.votes])
+        out.append([depth, x.label, x.text, x.pages, x.votes] if x.pages > 1 or x.votes != 1 else [depth, x.label, x.text])
         stack.extend((c, depth + 1) for c in reversed(x.children))
     return out
 
@@ -123,8 +125,8 @@ def tree(nodes: list) -> Shape:
     """The tree of a flat list; leaves are numbered in order."""
     path: list[Shape] = []
     place = 0
-    for depth, label, text, pages, votes in nodes:
-        node = Shape(label, text, pages, votes, place=place if text is not None else -1)
+    for depth, label, text, *counts in nodes:
+        node = Shape(label, text, *counts, place=place if text is not None else -1)
         place += text is not None
         del path[depth:]
         if path:
@@ -134,7 +136,22 @@ def tree(nodes: list) -> Shape:
 
 
 def _key(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    """48 bits of a text."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=6).digest(), "little")
+
+
+def with_texts(nodes: list, texts: set[int]) -> Shape:
+    """The tree of a flat list without the leaves of other texts, and without elements that lead to no leaf; places are those in the whole list."""
+    root = tree(nodes)
+    stack = [root]
+    order = []
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack.extend(x.children)
+    for x in reversed(order):
+        x.children = [c for c in x.children if (c.text in texts if c.text is not None else c.children)]
+    return root
 
 
 def shape_of(elements: list[tuple[int, str]], blocks: list[tuple[int, str]]) -> Shape:
@@ -267,9 +284,11 @@ def _induce(prune: bool):
         """Rows of (host, part, shape or wrapper), sorted: a wrapper for each host and part."""
         _deep()
         for t in runs(batches, 2):
-            one = None
-            for body in t["body"].to_pylist():
-                shape = tree(json.loads(body))
+            one, bodies = None, [json.loads(body) for body in t["body"].to_pylist()]
+            on = Counter(x for nodes in bodies for x in {x[2] for x in nodes if x[2] is not None})
+            often = {x for x, n in on.items() if n > SHARE * len(bodies)} if prune else set(on)
+            for nodes in bodies:
+                shape = with_texts(nodes, often)
                 one = shape if one is None else merge(one, shape)
             yield pa.RecordBatch.from_arrays([pa.array([t["host"][0].as_py()]), pa.array([_json(pruned(one) if prune else one)])], names=["host", "body"])
 
@@ -277,8 +296,8 @@ def _induce(prune: bool):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host (a hash), pages, body: the wrapper of each host with at least two different pages, from all of them. pages: host, shape; written."""
-    level = written(pages.groupBy("host", "shape").agg(F.lit(1).alias("n")).select("host", F.col("shape").alias("body")), "different")
+    """host (a hash), pages, body: the wrapper of each host with at least two different pages, from all of them. pages: host, shape, each once; written."""
+    level = pages.select("host", F.col("shape").alias("body"))
     counts = written(level.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where("pages > 1"), "hosts")
     most, number = counts.agg(F.max("pages"), F.count(F.lit(1))).first()
     hosts = F.broadcast(counts) if number < 100_000 else counts
@@ -293,24 +312,43 @@ def wrappers(pages: DataFrame) -> DataFrame:
         level = made.select("host", F.pmod(F.xxhash64("body"), F.lit(most)).cast("int").alias("part"), "body")
 
 
-def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The columns before shape and body, with the wrapper's leaf that each of the page's texts agrees with, or -1."""
+class _Wrappers:
+    """The wrapper of a body, kept while rows of one host follow each other: its tree and its texts."""
+
+    def __init__(self):
+        self.held: tuple = (None, None, None)
+
+    def leaves(self, shape: str, body: str) -> dict[int, int]:
+        if self.held[0] != body:
+            nodes = json.loads(body)
+            self.held = body, tree(nodes), {x[2] for x in nodes if x[2] is not None}
+        return aligned(with_texts(json.loads(shape), self.held[2]), self.held[1])
+
+
+def _agreed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host and leaf: the wrapper's leaves that different pages (host, shape, body) agree with."""
+    _deep()
+    known = _Wrappers()
+    for batch in batches:
+        host, leaf = [], []
+        for h, shape, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = set(known.leaves(shape, body).values())
+            host += [h] * len(found)
+            leaf += found
+        yield pa.RecordBatch.from_arrays([pa.array(host, pa.int64()), pa.array(leaf, pa.int32())], names=["host", "leaf"])
+
+
+def _content(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, url and text of pages (id, url, shape, texts, body, constant)."""
     _deep()
-    held: tuple[str, Shape] | None = None
+    known = _Wrappers()
     for batch in batches:
         out = []
-        shapes, bodies = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
-        for shape, body in zip(shapes, bodies, strict=True):
-            nodes = json.loads(shape)
-            leaves = sum(x[2] is not None for x in nodes)
-            if body is None:
-                out.append([-1] * leaves)
-                continue
-            if held is None or held[0] != body:
-                held = body, tree(json.loads(body))
-            found = aligned(tree(nodes), held[1])
-            out.append([found.get(i, -1) for i in range(leaves)])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.list_(pa.int32()))], names=[*batch.schema.names[:-2], "leaves"])
+        for shape, texts, body, constant in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
+            found = known.leaves(shape, body) if constant else {}
+            slots = [t for i, t in enumerate(texts) if found.get(i, -1) not in constant] if found else texts
+            out.append("\n\n".join(slots or texts))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.string())], names=[*batch.schema.names[:2], "text"])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -321,15 +359,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     kind = dict(rows.dtypes)
     head = f"id {kind['id']}, url {kind['url']}, host long"
     parsed = written(rows.mapInArrow(_parsed, f"{head}, shape string, texts array<string>"), "parsed")
-    found = written(wrappers(parsed.select("host", "shape")), "templates")
+    different = written(parsed.groupBy("host", "shape").agg(F.lit(1).alias("n")).select("host", "shape"), "different")
+    found = written(wrappers(different), "templates")
     size = found.agg(F.sum(F.length("body"))).first()[0] or 0
     side = lambda df: F.broadcast(df) if size <= BROADCAST_BYTES else df  # noqa: E731  as many bytes bound the templates' leaves
-    joined = parsed.withColumn("same", F.xxhash64("shape")).join(side(found.select("host", "body")), "host", "left").select("id", "url", "host", "same", "texts", "shape", "body")
-    marked = written(joined.mapInArrow(_align, f"{head}, same long, texts array<string>, leaves array<int>"), "aligned")
-    agreed = marked.select("host", "same", F.array_distinct(F.filter("leaves", lambda x: x >= 0)).alias("l")).where(F.size("l") > 0).dropDuplicates(["host", "same"])
-    agreed = agreed.select("host", F.explode("l").alias("leaf")).groupBy("host", "leaf").agg(F.count(F.lit(1)).alias("n"))
+    agreed = different.join(side(found.select("host", "body")), "host").mapInArrow(_agreed, "host long, leaf int").groupBy("host", "leaf").agg(F.count(F.lit(1)).alias("n"))
     constant = agreed.join(side(found.select("host", "pages")), "host").where(F.col("n") > SHARE * F.col("pages")).groupBy("host").agg(F.collect_list("leaf").alias("constant"))
-    out = marked.join(side(written(constant, "constant")), "host", "left")
-    slots = F.filter("texts", lambda t, i: ~F.coalesce(F.array_contains("constant", F.get("leaves", i)), F.lit(False)))
-    text = F.array_join(F.when(F.size(slots) > 0, slots).otherwise(F.col("texts")), "\n\n")
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    known = written(found.select("host", "body").join(constant, "host"), "constant")
+    out = parsed.join(side(known), "host", "left").select("id", "url", "shape", "texts", "body", "constant").mapInArrow(_content, f"id {kind['id']}, url {kind['url']}, text string")
+    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text").withColumn("n_chars", F.length("text").cast("long"))
