@@ -109,5 +109,80 @@ def test_sources(spark):
     rules = D.robots_rules(spark.createDataFrame([("s", "User-agent: *\nDisallow: /x\nAllow: /x/y")], "site string, raw string"))
     pages = spark.createDataFrame([("s", "https://a.b/x/1"), ("s", "https://a.b/x/y"), ("s", "https://a.b/z")], "site string, url string")
     assert {r.url[-3:]: r.allowed for r in D.robots_allowed(pages, rules).collect()} == {"x/1": False, "x/y": True, "b/z": True}
-    rest = D.rest_urls(spark.createDataFrame([("s", 1, 1, '[{"link": "https://a.b/p/"}]'), ("s", 2, 1, '[{"link": "https://a.b/q"}]')], "site string, page int, total_pages int, json string"))
-    assert [r.url for r in rest.collect()] == ["https://a.b/p"]
+    seed = "https://a.b/"
+    answers = [(seed, 1, 4, '[{"link": "https://a.b/p/"}, {"link": "https://o.c/x"}, {"link": "/s.css"}, {"link": "/r"}]'), (seed, 2, 4, "[]"), (seed, 3, 4, '[{"link": "https://a.b/q"}]')]
+    rest = D.rest_urls(spark.createDataFrame(answers, "seed_url string, page int, total_pages int, json string"))
+    assert sorted(r.url for r in rest.collect()) == ["https://a.b/p", "https://a.b/r"]
+
+
+def test_robots_groups(spark):
+    raw = "User-agent: a\nUser-agent: *\nDisallow: /x\n\nSitemap: https://a.b/m.xml\nUser-agent: Loom/1\nDisallow: /y?q\n"
+    table = spark.createDataFrame([("s", raw), ("t", None)], "site string, raw string")
+    got = {k: sorted((r.site, r.pattern) for r in D.robots_rules(table, k).collect()) for k in ("*", "loom/2", "a", "b")}
+    assert got == {"*": [("s", "/x")], "loom/2": [("s", "/y?q")], "a": [("s", "/x")], "b": [("s", "/x")]}
+    assert sorted(r.sitemap_url for r in D.robots_sitemaps(table).collect()) == ["https://a.b/m.xml", "t/sitemap.xml"]
+    pages = spark.createDataFrame([("s", "https://a.b/y?q=1"), ("s", "https://a.b/y")], "site string, url string")
+    assert {r.url: r.allowed for r in D.robots_allowed(pages, D.robots_rules(table, "loom")).collect()} == {"https://a.b/y?q=1": False, "https://a.b/y": True}
+
+
+def test_deep_pages():
+    import time
+
+    began = time.time()
+    html = "<h1>T</h1>" + "<div>" * 3000 + "<p>deep <b>text</b></p>" + "</div>" * 3000 + "<span>" * 3000 + "end"
+    got = P.extract_page(html)
+    assert got[15] == "# T\n\ndeep **text**\n\nend\n" and got[4].endswith("</body>") and time.time() - began < 30
+
+
+def test_markdown_tables_and_tasks():
+    html = "<main><p>More than forty characters are needed to be the main part.</p><table><tr><th>a<th align=right>b</tr><tr><td>1<td>2|3</table><ul><li><input type=checkbox checked>done<li><input type=checkbox>open</ul><ol start=3><li>x</ol></main>"
+    assert P.extract_page(html)[15].split("\n\n", 1)[1] == "| a | b |\n| --- | --: |\n| 1 | 2\\|3 |\n\n- [x] done\n- [ ] open\n\n3. x\n"
+
+
+def test_pages_are_parsed_once(spark):
+    rows = P.extract(spark.createDataFrame([(1, PAGE)], "id int, html string"), fields=["nav"]).select("id", F.explode("page.nav").alias("x")).where("x.href is not null")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1 and rows.count() == 1
+
+
+def test_single_values_as_columns(spark):
+    """weburl has the same algebra as urls."""
+    from webloom.functions import weburl as W
+
+    base = "https://A.b/x/y?q=1#f"
+    hrefs = ["/p", "p/./q/../r", "../../z", "?r=2", "#g", "//C.d/e", "HTTP://E.f:80", "mailto:x@y.z", " /t ", "p?x=../y"]
+    table = spark.createDataFrame([(h, base) for h in hrefs], "href string, base string")
+    assert {r.href: r.u for r in table.withColumn("u", U.resolve(F.col("href"), F.col("base"))).collect()} == {h: W.absolute(h, base) for h in hrefs}
+    images = ["https://i0.wp.com/p.jpg?w=3&x=1", "https://static.wixstatic.com/media/ab_12~mv2.png/v1/fill/w_9/p.png", "https://filesusr.com/v1/fill/w_20,h_2/c.png", "https://a.b/p.png?v=1", "https://a.b/favicon.ico"]
+    table = spark.createDataFrame([(i,) for i in images], "url string")
+    got = table.select("url", U.upgrade_media(F.col("url")).alias("up"), U.is_skippable(F.col("url")).alias("skip")).collect()
+    assert {(r.url, r.up, r.skip) for r in got} == {(i, W.upgraded(i), W.is_skippable(i)) for i in images}
+
+
+def test_malformed_escapes(spark):
+    assert one(spark, U.normalize(F.lit("https://a.b/?q=100%&b=%41"))) == "https://a.b/?b=A&q=100%25"
+
+
+def test_options():
+    from webloom.operators import site as S
+
+    assert S.listed(" a, ,b ") == ("a", "b") and S.listed(None, ("x",)) == ("x",)
+    for wrong in ({"depth": 0}, {"depth": 1.5}, {"platform": "other"}, {"resume": "yes"}):
+        with pytest.raises(ValueError):
+            S.Options(**wrong)
+    assert S.extractor("ghost").id == "generic" and S.extractor("wix").name == "Wix"
+
+
+def test_guard_and_files(spark, tmp_path):
+    from webloom.sources import files
+
+    root = f"{tmp_path}/out"
+    files.guard(spark, root)
+    files.write_files(spark.createDataFrame([("pages/a.md", "---\ntitle: x\n---\nb"), ("images/i.png", "x")], "path string, content string"), root)
+    with pytest.raises(FileExistsError):
+        files.guard(spark, root)
+    files.guard(spark, root, resume=True)
+    assert sorted(r.path for r in files.paths(spark, root).collect()) == ["images/i.png", "pages/a.md"]
+    entries = files.pack_entries(files.markdown_tree(spark, root).withColumn("pack", F.lit("p"))).collect()
+    assert [(r.collection, r.slug) for r in entries] == [("pages", "a")]
+    files.guard(spark, root, overwrite=True)
+    assert files.paths(spark, root).count() == 0

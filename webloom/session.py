@@ -28,9 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; one of our own only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which all executors see. Where that is unset, a temporary one in local mode, as in tests; on a cluster that is
+    an error, for a folder of the driver's own machine is no place for executors' tables."""
     known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not known:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         known = tempfile.mkdtemp(prefix="webloom-")
         spark.sparkContext.setCheckpointDir(known)
     return known.rstrip("/")
@@ -41,3 +45,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/webloom-tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Deletes what written has left in the shared folder; for when every result that reads it has been stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/webloom-tables")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
