@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import functools
 import operator
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,28 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from webloom.session import shared_dir, written  # noqa: F401
+
 #: The white space that separates words in every contract: space, tab, line feed, vertical tab, form feed, return.
 WHITE = " \t\n\x0b\f\r"
 #: Rows that a broadcast side may have; each broadcast here has rows of at most a few hundred bytes.
 BROADCAST_ROWS = 200_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; one of our own only where that is unset (tests)."""
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not known:
-        known = tempfile.mkdtemp(prefix="webloom-")
-        spark.sparkContext.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once as a table in the shared folder and read again: it cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/webloom-tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it has few enough rows; else as it is, for a shuffled join that AQE can split."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
