@@ -88,3 +88,32 @@ def test_consistency_factors():
     d = (x * x).sum(axis=1)
     for cut, share, left in ((quality.CHI_HALF, quality.HALF, quality.SHRINK_HALF), (quality.CHI_WEIGHT, 0.975, quality.SHRINK_WEIGHT)):
         assert abs((d <= cut).mean() - share) < 0.003 and abs(x[d <= cut].var() - left) < 0.005
+
+
+def test_near_dedup_against_all_pairs(spark):
+    """Every two documents of the smallest table whose weighted similarity is 0.8 or more are in one class, and classes have no others."""
+    import pyarrow as pa
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = type("Idf", (), {"value": near_dedup.idf_table(table.select("text"), len(rows))})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array([t for _, t in rows], pa.string())], names=["uid", "text"])
+    vector = next(near_dedup._vectors(idf)(iter([batch]))).column(1).to_pylist()
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if vector[i] and vector[j] and near_dedup.weighted_jaccard(vector[i], vector[j]) >= near_dedup.THRESHOLD:
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.class_id for r in near_dedup.near_dedup(table).collect()}
+    order = sorted(range(len(rows)), key=lambda i: rows[i][0])
+    least = {}
+    for i in order:
+        least.setdefault(find(i), rows[i][0])
+    assert got == {rows[i][0]: least[find(i)] for i in range(len(rows))}
