@@ -263,6 +263,8 @@ def extract_page(html: str | None, platform: str | None = "generic", parts_wante
     nav_links: list[Node] = next((found for s in MENUS if (found := [a for n in page.select(s) for a in n.select("a[href]")])), []) or page.select("header a[href], #SITE_HEADER a[href]") if want("nav") else []
     nav = list(dict.fromkeys((_squeezed(a.text()), a.get("href")) for a in nav_links))
     nav = [x for x in nav if x[0] and x[1] and len(x[0]) <= 80]
+    if not nav and platform == "wix" and want("nav"):  # its own marks, whatever the titles' lengths
+        nav = list(dict.fromkeys((t, a.get("href")) for a in page.select("#SITE_HEADER a[href], [data-testid='linkElement']") if a.get("href") and (t := _squeezed(a.text()))))
     canonical = _attr(page, "link[rel='canonical']", "href")
     anchors = list(dict.fromkeys(a.get("href") for a in page.select("a[href]") if a.get("href"))) if want("anchors") else []
     meta = site_metadata(page) if want("meta") else {}
