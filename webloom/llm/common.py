@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import operator
 from collections.abc import Iterator
 
@@ -19,6 +20,13 @@ WHITE = " \t\n\x0b\f\r"
 BROADCAST_ROWS = 200_000
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the executors delete the shuffle files of steps that are done: Spark does so when the driver's collector finds their plans unused, which a
+    driver with memory to spare may do only after many steps."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast if it has few enough rows; else as it is, for a shuffled join that AQE can split."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
