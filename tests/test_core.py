@@ -186,3 +186,18 @@ def test_guard_and_files(spark, tmp_path):
     assert [(r.collection, r.slug) for r in entries] == [("pages", "a")]
     files.guard(spark, root, overwrite=True)
     assert files.paths(spark, root).count() == 0
+
+
+def test_titles_of_cut_headings_equal_their_sql(spark, tmp_path):
+    """A heading that was cut within a character reference keeps what is left of it, as in the query's SQL; extraction itself decodes it, as HTML does."""
+    import duckdb
+
+    from webloom.plans import catalogue
+
+    headings = ["R &amp; D&amp", "&amp;lt; &lt;x&amp;&amp", "a &copy", "&copy; b&am", "  c  &quot;d&quot;  ", "&amplifier; &"]
+    rows = [(i, f"https://a.b/{i}", f'<!DOCTYPE html><html lang="en"><head></head><body><h1>{x}</h1><p>y</p></body></html>') for i, x in enumerate(headings)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(tuple(r) for r in catalogue.page_titles(spark, str(tmp_path)).collect())
+    sql = catalogue.oracle_sql()["page_titles"].replace("FROM pages", f"FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(duckdb.connect().execute(sql).fetchall()) and got[0][1] == "R & D&amp"
+    assert P.extract_page(rows[0][2])[0] == "R & D&"

@@ -252,13 +252,14 @@ def _gallery_images(g: Node) -> list[str]:
     return list(dict.fromkeys(s for s in found if s and not s.startswith("data:")))
 
 
-def extract_page(html: str | None, platform: str | None = "generic", parts_wanted: frozenset[str] | None = None) -> tuple:
+def extract_page(html: str | None, platform: str | None = "generic", parts_wanted: frozenset[str] | None = None, closed: bool = False) -> tuple:
     """One page's row of EXTRACTED; addresses are as they stand in the page (site.resolved makes them absolute). The platform decides where the main
     part is looked for; on wix, images and galleries outside it follow those within. parts_wanted: names whose values are needed, all if None.
+    closed: texts keep character references that no semicolon closes.
 
     Scripts are gone before posts are told from pages, so a post that only its JSON-LD names is no post."""
     want = lambda *names: parts_wanted is None or not parts_wanted.isdisjoint(names)
-    page, platform = parse(html), platform or "generic"
+    page, platform = parse(html, closed), platform or "generic"
     title, description = _title(page), _meta(page, "og:description", "description")
     nav_links: list[Node] = next((found for s in MENUS if (found := [a for n in page.select(s) for a in n.select("a[href]")])), []) or page.select("header a[href], #SITE_HEADER a[href]") if want("nav") else []
     nav = list(dict.fromkeys((_squeezed(a.text()), a.get("href")) for a in nav_links))
@@ -315,15 +316,15 @@ def _columns() -> list[tuple[str, str]]:
     return [tuple(x.strip().split(" ", 1)) for x in re.split(r",\s*(?=[a-z_]+ (?:string|array|boolean|map))", EXTRACTED)]
 
 
-def extract(pages: DataFrame, html: str = "html", extractor: Callable = extract_page, platform: str | None = None, fields: list[str] | None = None) -> DataFrame:
+def extract(pages: DataFrame, html: str = "html", extractor: Callable = extract_page, platform: str | None = None, fields: list[str] | None = None, closed: bool = False) -> DataFrame:
     """pages with a column page, the struct EXTRACTED of each, or some fields of it; the page is parsed once. platform names a column such as detect
-    adds. The function counts as nondeterministic, so that no plan runs it a second time for a filter or an explode."""
+    adds; closed is extract_page's. The function counts as nondeterministic, so that no plan runs it a second time for a filter or an explode."""
     columns = [c for c in _columns() if fields is None or c[0] in fields]
     names, wanted = [c[0] for c in columns], None if fields is None else frozenset(fields)
     places = [i for i, c in enumerate(_columns()) if c[0] in names]
 
     def row(x: str | None, kind: str | None) -> list:
-        got = extractor(x, kind, wanted) if extractor is extract_page else extractor(x, kind)
+        got = extractor(x, kind, wanted, closed) if extractor is extract_page else extractor(x, kind)
         return [got[i] for i in places]
 
     @F.pandas_udf(f"struct<{', '.join(f'{n}:{t}' for n, t in columns)}>")
