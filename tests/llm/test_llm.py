@@ -137,8 +137,9 @@ def test_line_links(spark):
     assert sum(r.n_kept for r in each) == len({find(x) for x in root})
 
 
-def test_line_links_are_all_links(spark):
-    """Lines that are all near each other have a link for each pair, whichever of them leads their entries."""
+def test_line_links_are_all_links(spark, monkeypatch):
+    """Lines that are all near each other have a link for each pair, whichever of them leads their entries; also where entries are large."""
+    monkeypatch.setattr(line_dedup, "MANY", 2)
     lines = [f"the {a} quick brown foxes jump over {b} lazy dogs" for a in "abcd" for b in "xyz"]  # each two differ by two edits at most
     table = spark.createDataFrame([(i, x) for i, x in enumerate(lines)] + [(90, lines[0] + "\n" + lines[1]), (91, "something else altogether")], "doc_id long, text string")
     assert len({(r.a, r.b) for r in line_dedup.line_links(table, "text").collect()}) == len(lines) * (len(lines) - 1) // 2
