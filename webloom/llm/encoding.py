@@ -2,7 +2,7 @@
 
 Both vocabularies' pre-tokenizers cut a text by a pattern over letters, digits, white space and the rest, and merge within the
 pieces alone. Over ASCII and the Latin-1 letters these classes are the same in every Unicode table and normalisation changes
-nothing but case, so the pieces are cut here and the library encodes each distinct piece once. Of other texts, the parts between
+nothing but case, so the pieces are cut here, where the kind of character changes, and the library encodes each distinct piece once. Of other texts, the parts between
 white space are what is encoded once. Texts with white space outside ASCII or with the string of an added token are encoded whole.
 """
 
@@ -22,6 +22,12 @@ _LATIN = re.compile("[\t-\r -~À-ÖØ-öø-ÿ]*")
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _KEEPS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
 _DROPS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
+#: Kinds of Latin-1 characters: letters 1, digits 2, space 3, other white space 4, the rest 0.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[i for i in range(256) if re.match(f"[{_LETTERS}]", chr(i))]] = 1
+_KIND[48:58], _KIND[32], _KIND[9:14] = 2, 3, 4
+#: Texts with one of these are cut by the pattern: contractions, and white space next to other white space but a line feed.
+_CLOSE = ("'", "  ", " \n", "\n ", "\n\n\n", "\t", "\r", "\x0b", "\x0c")
 #: Characters of cached parts, and of texts that are encoded together.
 _CACHED, _TOGETHER = 11_000_000, 1_000_000
 
@@ -46,6 +52,9 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.drops_space = drops_space
         self.plain = re.compile(f"[{_LETTERS}]+" if drops_space else f" [{_LETTERS}]+")
+        self.mark = "." if drops_space else "\n"
+        mark = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = mark[0] if len(mark) == 1 else None
         self.cache: dict[str, bytes] = {}
         self.held = 0
 
@@ -53,21 +62,42 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece. Plain words go to the library as one text, and its word numbers tell them apart."""
+        """The ids of each piece. Plain words go to the library as one text, with a mark between them whose one id no word has."""
         plain = [p for p in pieces if self.plain.fullmatch(p)]
-        glue = " " if self.drops_space else ""
         found: dict[str, bytes] = {}
-        for a in range(0, len(plain), 4096):
-            some = plain[a : a + 4096]
-            got = self.tokenizer.encode(glue.join(some), add_special_tokens=False)
-            word = np.array(got.word_ids, np.int64)
-            if len(word) and word[-1] + 1 == len(some):
-                ids, first = np.array(got.ids, "<u4").tobytes(), np.searchsorted(word, np.arange(len(some) + 1)) * 4
-                found.update((p, ids[first[i] : first[i + 1]]) for i, p in enumerate(some))
+        for a in range(0, len(plain), 256):
+            some = plain[a : a + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark_id) if self.mark_id is not None else ()
+            if len(ends) == len(some) - 1:
+                data, ends = ids.tobytes(), [-1, *ends.tolist(), len(ids)]
+                found.update((p, data[4 * x + 4 : 4 * y]) for p, x, y in zip(some, ends[:-1], ends[1:], strict=True))
         rest = [p for p in pieces if p not in found]
         found.update(zip(rest, self._whole(rest), strict=True))
         return [found[p] for p in pieces]
 
+    def _cut(self, text: str) -> list[str]:
+        """The pre-tokens of a text of _LATIN, and perhaps empty ones."""
+        if self.drops_space:
+            text = text.lower()
+            if "'" in text:
+                return _DROPS.findall(text)
+        elif text.endswith("\n\n") or any(x in text for x in _CLOSE):
+            return _KEEPS.findall(text)
+        data = np.frombuffer(text.encode("latin-1"), np.uint8)
+        kind = _KIND[data]
+        new = np.zeros(len(data), bool)
+        new[1:] = kind[1:] != kind[:-1]
+        if self.drops_space:
+            new |= kind == 2
+            data = np.where(kind > 2, 0, data)
+        else:
+            new[1:] &= kind[:-1] != 3  # a space belongs to what follows
+            new |= kind == 4
+        out = np.zeros(len(data) + np.count_nonzero(new), np.uint8)
+        out[np.arange(len(data)) + np.cumsum(new)] = data
+        return out.tobytes().decode("latin-1").split("\0")
+
     def _group(self, texts: list[str]) -> list[bytes]:
         odd, parts = [], []
         for i, text in enumerate(texts):
@@ -75,7 +105,7 @@ class Encoder:
                 odd.append(i)
                 parts.append([])
             elif _LATIN.fullmatch(text):
-                parts.append(_DROPS.findall(text.lower()) if self.drops_space else _KEEPS.findall(text))
+                parts.append(self._cut(text))
             elif _ODD.search(text):
                 odd.append(i)
                 parts.append([])
